@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import simhash
+from pagemill.llm import langmodel, simhash, substrings
 from pagemill.llm.store import load
 
 
@@ -14,8 +14,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, max_distance=2)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.corpus_scores(load(spark, sf_dir, "documents"), divisor=7, rest=2)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(load(spark, sf_dir, "documents"), size=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_substring_dedup": op5_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
