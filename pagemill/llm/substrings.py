@@ -7,8 +7,9 @@ also starts in a document with a smaller doc_id.  The steps, each over all docum
    short word grams, so equal windows have equal anchors and a fifth of the keys suffices.
 2. For windows whose anchor recurs, blocks ask by a 96-bit hash whether the window itself
    starts in a smaller document elsewhere: these are the confirmed passages.
-3. Each block compiles its confirmed passages into sharded Aho-Corasick automata over word
-   codes and streams all its documents through them: every occurrence is located and removed.
+3. Each block joins neighbouring confirmed windows into passages, compiles these into sharded
+   Aho-Corasick automata over word codes and streams all its documents through them: every
+   occurrence is located and, in documents after the passage's owner, removed.
 
 A key is asked once a block however many documents hold it, so copies do not pile up in a task.
 
@@ -35,8 +36,10 @@ from pagemill.llm.store import text_bytes
 
 #: Text bytes whose keys meet in one shard.
 SHARD_BYTES = 24 << 20
-#: Patterns of one automaton: 13 nodes each, some 60 MB.
-AUTOMATON_PATTERNS = 40_000
+#: Characters of the passages of one automaton: a node each at most, of some 40 bytes.
+AUTOMATON_CHARS = 2_000_000
+#: Characters of the automata's texts for one word.
+DIGITS = 3
 _NONE = np.iinfo(np.int64).max
 
 
@@ -87,7 +90,7 @@ def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _windows(block: Block, flagged: np.ndarray, size: int) -> tuple:
-    """Distinct flagged windows: two hashes, smallest id, whether others have it, one start of each."""
+    """Distinct flagged windows: two hashes, smallest id, whether others have it; each one's start and index."""
     at = block.start[flagged]
     one, two = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
     for j in range(size):
@@ -98,34 +101,69 @@ def _windows(block: Block, flagged: np.ndarray, size: int) -> tuple:
     order, begin = X.groups(one, two)
     low, many = _least_and_many(order, begin, block.ids[block.words.doc[at]])
     first = order[begin]
-    return one[first], two[first].astype(np.uint32), low, many, at[first]
+    return one[first], two[first].astype(np.uint32), low, many, at, X.spread(order, begin, np.arange(len(begin)))
 
 
-def _removed(block: Block, starts: np.ndarray, owners: np.ndarray, size: int) -> np.ndarray:
-    """Which words some pattern's occurrence covers, where the pattern's owner is a smaller document."""
+def _spelled(known: np.ndarray, hashes: np.ndarray) -> str:
+    """A string with ``DIGITS`` characters for each word: its rank among ``known``, or the mark of none.
+
+    An automaton's node looks through its children one by one, so characters are few; each
+    digit has an alphabet of its own, so nothing matches from the middle of a word.
+    """
+    base = max(2, int(np.ceil((len(known) + 1) ** (1 / DIGITS))))
+    code = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    code = np.where(known[code] == hashes, code, base**DIGITS)
+    digits = np.stack([code // base**k % base + k * (base + 1) for k in reversed(range(DIGITS))], axis=1)
+    digits[code == base**DIGITS] = base
+    return digits.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _passages(at: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """Runs of neighbouring windows of one owner: first word, last word (excluded), owner."""
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (np.diff(at) != 1) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(at)) - 1
+    yield from zip(at[begin].tolist(), (at[last] + size).tolist(), owner[begin].tolist(), strict=True)
+
+
+def _removed(block: Block, at: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """Which words an occurrence of some passage covers, where the passage's owner is a smaller document.
+
+    ``at`` has the starts, in order, of all confirmed windows of the block, ``owner`` their owners.
+    """
     covered = np.zeros(len(block.words) + 1, dtype=np.int32)
-    for i in range(0, len(starts), AUTOMATON_PATTERNS):
-        part, owner = starts[i : i + AUTOMATON_PATTERNS], owners[i : i + AUTOMATON_PATTERNS]
-        known = np.unique(block.words.hash[(part[:, None] + np.arange(size)).ravel()])
-        code = np.searchsorted(known, block.words.hash)
-        code[code == len(known)] = 0
-        code = np.where(known[code] == block.words.hash, code + 1, 0)
-        code += (code >= 0xD800) * 0x800  # a surrogate is no character
-        chars = code.astype("<u4").tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton()
-        for k, s in enumerate(part.tolist()):
-            automaton.add_word(chars[s : s + size], k)
+    if not len(at):
+        return covered[:-1] > 0
+    inside = np.zeros(len(block.words) + 1, dtype=np.int32)
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + size, -1)
+    hashes = block.words.hash
+    chars = _spelled(np.unique(hashes[np.cumsum(inside[:-1]) > 0]), hashes)
+    bounds = block.words.first
+    # the rest has no confirmed window, so no passage occurs there
+    streams = np.unique(block.words.doc[at]).tolist()
+
+    def locate(automaton: ahocorasick.Automaton) -> None:
         automaton.make_automaton()
-        bounds = block.words.first
         # one stream a document: an occurrence doesn't run over a document's end
-        for d in np.flatnonzero((np.diff(bounds) >= size) & (block.ids != _NONE)).tolist():
+        for d in streams:
             a, b, own = int(bounds[d]), int(bounds[d + 1]), block.ids[d]
-            hits = list(automaton.iter(chars[a:b]))
-            if hits:
-                found = np.array(hits, dtype=np.int64)
-                last = found[owner[found[:, 1]] < own, 0] + a
-                covered[last - size + 1] += 1
-                covered[last + 1] -= 1
+            found = [(end, n) for end, (n, who) in automaton.iter(chars[DIGITS * a : DIGITS * b]) if who < own]
+            if found:
+                end, n = np.array(found, dtype=np.int64).T
+                end = end // DIGITS + a + 1
+                np.add.at(covered, end - n, 1)
+                np.add.at(covered, end, -1)
+
+    automaton, room = ahocorasick.Automaton(), AUTOMATON_CHARS
+    for a, b, who in _passages(at, owner, size):
+        if room < DIGITS * (b - a) and len(automaton):
+            locate(automaton)
+            automaton, room = ahocorasick.Automaton(), AUTOMATON_CHARS
+        if automaton.add_word(chars[DIGITS * a : DIGITS * b], (b - a, who)):
+            room -= DIGITS * (b - a)
+    locate(automaton)
     return np.cumsum(covered[:-1]) > 0
 
 
@@ -162,7 +200,7 @@ def deduplicate(docs: DataFrame, size: int = 13, gram: int = 6, texts: bool = Fa
         block = Block.of(table, size, gram) if table.num_rows else None
         if block is None:
             return X.questions(0, np.zeros(0, dtype=np.uint64), {"more": np.zeros(0, dtype=np.uint32), "low": np.zeros(0, dtype=np.int64)}, n)
-        one, two, low, _, _ = _windows(block, flagged(block, reply), size)
+        one, two, low, *_ = _windows(block, flagged(block, reply), size)
         return X.questions(table.column("block")[0].as_py(), one, {"more": two, "low": low}, n)
 
     def smaller_elsewhere(table: pa.Table) -> pa.Table:
@@ -175,11 +213,11 @@ def deduplicate(docs: DataFrame, size: int = 13, gram: int = 6, texts: bool = Fa
         block = Block.of(table, size, gram)
         kind = np.asarray(reply.column("step").to_pylist(), dtype=np.int64)
         flags = flagged(block, reply.filter(pa.array(kind == 1)) if len(kind) else empty)
-        one, _, low, many, start = _windows(block, flags, size)
+        one, _, low, many, at, of = _windows(block, flags, size)
         outside = X.answered(reply.filter(pa.array(kind == 2)) if len(kind) else empty, one, n, np.bool_)
-        confirmed = outside | many
-        owner = np.where(outside, np.iinfo(np.int64).min, low)[confirmed]
-        gone = _removed(block, start[confirmed], owner, size)
+        confirmed = (outside | many)[of]
+        owner = np.where(outside, np.iinfo(np.int64).min, low)[of]
+        gone = _removed(block, at[confirmed], owner[confirmed], size)
         rows = []
         for d, text in enumerate(block.texts):
             a, b = int(block.words.first[d]), int(block.words.first[d + 1])

@@ -54,7 +54,7 @@ def test_words_removed_match_brute_force(spark, monkeypatch, seed, block):
 
 
 def test_automata_are_sharded(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "AUTOMATON_PATTERNS", 7)
+    monkeypatch.setattr(substrings, "AUTOMATON_CHARS", 150)
     rows = make(5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in substrings.deduplicate(df, size=8, gram=4, texts=True).collect()), key=str)
