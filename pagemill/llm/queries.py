@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import langmodel, simhash, substrings
+from pagemill.llm import decontaminate, langid, langmodel, licenses, quality, simhash, substrings, toxicity, urls
 from pagemill.llm.store import load
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), divisor=3, rest=1)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, max_distance=2)
 
@@ -22,10 +26,37 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(load(spark, sf_dir, "documents"), size=13)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents"), divisor=4, rest=2)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = urls.page_outcomes(load(spark, sf_dir, "labels"))
+    return urls.judge(load(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": urls.ORACLE}
