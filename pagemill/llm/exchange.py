@@ -29,6 +29,18 @@ def shards_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
     return (mix(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n_shards)).astype(np.int64)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: what sorted keys, ids and counts share compresses away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(packed: list[bytes], dtype: type) -> np.ndarray:
+    """The arrays of all ``packed``, joined."""
+    width = np.dtype(dtype).itemsize
+    parts = [np.frombuffer(p, dtype=np.uint8).reshape(width, -1).T for p in packed]
+    return np.ascontiguousarray(np.concatenate(parts)).view(dtype).ravel() if parts else np.zeros(0, dtype=dtype)
+
+
 def questions(block: int, keys: np.ndarray, columns: dict[str, np.ndarray], n_shards: int) -> pa.Table:
     """One row for each shard that owns some of ``keys``, with these keys and their columns packed."""
     shard = shards_of(keys, n_shards)
@@ -38,7 +50,7 @@ def questions(block: int, keys: np.ndarray, columns: dict[str, np.ndarray], n_sh
     packed = {"key": keys[order], **{k: v[order] for k, v in columns.items()}}
     out = {"shard": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32())}
     for name, values in packed.items():
-        out[name] = pa.array([values[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary())
+        out[name] = pa.array([planes(values[cut[s] : cut[s + 1]]) for s in full], pa.binary())
     return pa.table(out)
 
 
@@ -55,14 +67,14 @@ def unpacked(table: pa.Table, types: dict[str, type]) -> tuple[list[int], np.nda
     blocks = table.column("block").to_pylist()
     keys = table.column("key").to_pylist()
     cut = np.concatenate(([0], np.cumsum([len(k) // 8 for k in keys]))).astype(np.int64)
-    return blocks, cut, {n: np.frombuffer(b"".join(table.column(n).to_pylist()), dtype=t) for n, t in types.items()}
+    return blocks, cut, {n: from_planes(table.column(n).to_pylist(), t) for n, t in types.items()}
 
 
 def answers(shard: int, blocks: list[int], cut: np.ndarray, values: np.ndarray) -> pa.Table:
     return pa.table({
         "block": pa.array(blocks, pa.int32()),
         "shard": pa.array([shard] * len(blocks), pa.int32()),
-        "answer": pa.array([values[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+        "answer": pa.array([planes(values[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
     })
 
 
@@ -74,7 +86,7 @@ def answered(table: pa.Table, keys: np.ndarray, n_shards: int, dtype: type) -> n
     shard = shards_of(keys, n_shards)
     order = np.argsort(shard, kind="stable")
     rows = sorted(zip(table.column("shard").to_pylist(), table.column("answer").to_pylist(), strict=True))
-    joined = np.frombuffer(b"".join(r[1] for r in rows), dtype=dtype)
+    joined = from_planes([r[1] for r in rows], dtype)
     if len(joined) != len(keys):
         raise ValueError(f"{len(keys)} keys asked, {len(joined)} answered")
     out = np.empty(len(keys), dtype=dtype)
