@@ -20,9 +20,9 @@ BLOCK_BYTES = 4 << 20
 
 
 def with_blocks(docs: DataFrame, total_bytes: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id, text and a block number; the number of blocks follows the size of the input."""
+    """A block number before the columns of ``docs``; the number of blocks follows the size of the input."""
     n = max(1, -(-total_bytes // block_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), n
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("_block"), *docs.columns), n
 
 
 def shards_of(keys: np.ndarray, n_shards: int) -> np.ndarray:

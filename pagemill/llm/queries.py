@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, langid, langmodel, licenses, quality, simhash, substrings, toxicity, urls
+from pagemill.llm import decontaminate, langid, langmodel, licenses, pieces, quality, simhash, substrings, toxicity, urls
 from pagemill.llm.store import load
 
 
+#: The SentencePiece model that op1_sentencepiece reads on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(load(spark, sf_dir, "documents"), PIECE_MODEL, n=3)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), divisor=3, rest=1)
 
@@ -48,6 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_lm_scoring": op4_lm_scoring,

@@ -14,9 +14,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm import words as W
 from pagemill.llm.graph import components
 from pagemill.llm.store import saved
 from pagemill.llm.words import encoded
@@ -108,3 +109,117 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = named.select("fp", "label").join(smallest, "label").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Blocks of a wide fingerprint; every text is filed under each of them.
+WIDE_BLOCKS = 32
+
+
+def _wide_keys(words: np.ndarray, bits: int) -> np.ndarray:
+    """The values of ``WIDE_BLOCKS`` blocks of ``bits`` bits of the SimHash of distinct words."""
+    lanes = -(-WIDE_BLOCKS * bits // 64)
+    totals = np.zeros(lanes * 64, dtype=np.int64)
+    seeds = W.mix(np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in range(0, len(words), 2048):
+        spread = W.mix(words[i : i + 2048, None] ^ seeds[None])
+        totals += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    found = totals[: WIDE_BLOCKS * bits].reshape(WIDE_BLOCKS, bits) * 2 > len(words)
+    return found @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _described(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(doc_id, same, keys, grams): a hash of the words, the blocks, and the set of shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = encoded(b.column(1), lower=True)
+            for i, j in W.chunks(texts, 1 << 20):
+                words = W.scan(texts[i:j])
+                runs, same, keys, sets = words.grams(shingle), [], [], []
+                for d in range(j - i):
+                    a, z = int(words.first[d]), int(words.first[d + 1])
+                    own = words.hash[a:z]
+                    same.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    keys.append(_wide_keys(np.unique(own), bits).astype(np.int32))
+                    grams = runs[a : z - shingle + 1] if z - a >= shingle else np.array([xxhash.xxh64_intdigest(own.tobytes())] if z > a else [], dtype=np.uint64)
+                    sets.append(np.unique((grams >> np.uint64(32)).astype(np.uint32)).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int32())), pa.array(sets, pa.binary())], names=["doc_id", "same", "keys", "grams"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, keys array<int>, grams binary")
+
+
+def _proposed(filed: DataFrame, bits: int) -> DataFrame:
+    """Pairs (u, v) of nodes in one file: all in small files; in large ones the least with every other, and neighbours by ``near``.
+
+    ``filed`` has which, key, node and near, each node once in a file.
+    """
+    sizes = filed.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    shared = filed.join(sizes, ["which", "key"])
+    small, large = shared.where(F.col("n") <= PAIRWISE), shared.where(F.col("n") > PAIRWISE)
+    pairs = small.select("which", "key", F.col("node").alias("u")).join(small.select("which", "key", F.col("node").alias("v")), ["which", "key"]).where("u > v").select("u", "v")
+    stars = large.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    # a salt by the leading part of near keeps the order of a huge file out of one task
+    order = Window.partitionBy("which", "key", F.shiftright("near", max(0, bits - 6))).orderBy("near", "node")
+    rows = large.withColumn("v", F.lag("node").over(order)).where("v is not null").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
+    return pairs.unionByName(stars).unionByName(rows).distinct()
+
+
+def _verified(pairs: DataFrame, described: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have the Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                low, high = sorted((len(one), len(two)))
+                both = len(np.intersect1d(one, two, assume_unique=True)) if low >= similarity * high else 0
+                keep.append(both >= similarity * (low + high - both))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = described.select("doc_id", "grams")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("one")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("two")), "v")
+    return joined.select("u", "v", "one", "two").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+    """(doc_id, group_id) for each document that has near copies; group_id is its group's least doc_id.
+
+    Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word
+    shingles (A-Z lower-cased) is ``similarity`` or more.  Texts with equal words are joined
+    first.  The others are filed under 32 blocks of a wide SimHash over their distinct words,
+    whose bits differ little when shingles differ some; blocks are as long as the number of
+    texts needs to keep files small.  Pairs from a file are verified on the whole shingle sets.
+    A file of very many near copies is linked by its least text and by neighbours, and once more
+    between the groups that are left in it, without comparing all its pairs.
+
+    Null ids are in no group; rows that share a doc_id are one document.
+    """
+    count = docs.count()
+    bits = min(30, max(16, int(np.ceil(np.log2(max(2, count)))) + 2))
+    described = saved(_described(docs, shingle, bits), "described")
+    # rows that share a doc_id count once, by the least of their texts' hashes
+    classes = described.groupBy("same").agg(F.min("doc_id").alias("node"))
+    members = described.select("doc_id", "same").join(classes, "same").select("doc_id", "node").distinct()
+    # the keys are those of the node itself
+    own = described.join(members.where("doc_id = node").select("node"), described.doc_id == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    files = saved(own.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("which", "key"), F.element_at("keys", -1).alias("near")), "files")
+    edges = label = None
+    for turn in range(rounds):
+        if turn:
+            crowded = files.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).drop("n")
+            named = files.join(crowded, ["which", "key"], "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            seats = named.groupBy("which", "key", "label").agg(F.min("node").alias("node"), F.min_by("near", "node").alias("near"))
+            pairs = _proposed(seats.drop("label"), bits)
+        else:
+            pairs = _proposed(files, bits)
+        found = _verified(pairs, described.dropDuplicates(["doc_id"]), similarity)
+        edges = saved(found if edges is None else edges.unionByName(found), "links")
+        label = components(edges)
+    return members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group_id")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one of the least doc_id; all columns kept."""
+    gone = similar_groups(docs, shingle, similarity).where("doc_id <> group_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

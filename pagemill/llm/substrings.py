@@ -21,7 +21,7 @@ one and its row keeps all words; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -47,6 +47,7 @@ _NONE = np.iinfo(np.int64).max
 class Block:
     """The documents of a block in rising order of id, those with a null id last."""
 
+    order: np.ndarray  # of each document: its row
     ids: np.ndarray
     texts: list[bytes]
     words: W.Words
@@ -68,7 +69,7 @@ class Block:
             step = min(span, reach - span)
             low = np.minimum(low[: len(low) - step], low[step:])
             span += step
-        return cls(ids, texts, words, start, low[start] if len(start) else np.zeros(0, dtype=np.uint64))
+        return cls(order, ids, texts, words, start, low[start] if len(start) else np.zeros(0, dtype=np.uint64))
 
     def id_of(self, window: np.ndarray) -> np.ndarray:
         return self.ids[self.words.doc[self.start[window]]]
@@ -167,14 +168,10 @@ def _removed(block: Block, at: np.ndarray, owner: np.ndarray, size: int) -> np.n
     return np.cumsum(covered[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, size: int = 13, gram: int = 6, texts: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept.
-
-    kept has the words left, joined by single spaces; kept_sha256 is its SHA-256 as UTF-8.
-    """
+def _cut(docs: DataFrame, size: int, gram: int, result: Callable[[Block, pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What ``result`` makes of each block, its rows and the flags of the words to remove."""
     if not 1 < gram <= size:
         raise ValueError("an anchor gram has two words or more and fits a window")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = text_bytes(docs)
     blocks, _ = X.with_blocks(docs, total)
     n = max(1, -(-total // SHARD_BYTES))
@@ -182,7 +179,7 @@ def deduplicate(docs: DataFrame, size: int = 13, gram: int = 6, texts: bool = Fa
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         keys, low, many, _ = _anchors(Block.of(table, size, gram))
-        return X.questions(table.column("block")[0].as_py(), keys, {"low": low, "many": many}, n)
+        return X.questions(table.column("_block")[0].as_py(), keys, {"low": low, "many": many}, n)
 
     def recurring(table: pa.Table) -> pa.Table:
         blocks, cut, got = X.unpacked(table, {"key": np.uint64, "low": np.int64, "many": np.bool_})
@@ -197,11 +194,11 @@ def deduplicate(docs: DataFrame, size: int = 13, gram: int = 6, texts: bool = Fa
         return np.flatnonzero(X.answered(table, keys, n, np.bool_)[of]) if len(of) else np.zeros(0, dtype=np.int64)
 
     def ask_windows(table: pa.Table, reply: pa.Table) -> pa.Table:
-        block = Block.of(table, size, gram) if table.num_rows else None
-        if block is None:
+        if not table.num_rows:
             return X.questions(0, np.zeros(0, dtype=np.uint64), {"more": np.zeros(0, dtype=np.uint32), "low": np.zeros(0, dtype=np.int64)}, n)
+        block = Block.of(table, size, gram)
         one, two, low, *_ = _windows(block, flagged(block, reply), size)
-        return X.questions(table.column("block")[0].as_py(), one, {"more": two, "low": low}, n)
+        return X.questions(table.column("_block")[0].as_py(), one, {"more": two, "low": low}, n)
 
     def smaller_elsewhere(table: pa.Table) -> pa.Table:
         blocks, cut, got = X.unpacked(table, {"key": np.uint64, "more": np.uint32, "low": np.int64})
@@ -217,21 +214,61 @@ def deduplicate(docs: DataFrame, size: int = 13, gram: int = 6, texts: bool = Fa
         outside = X.answered(reply.filter(pa.array(kind == 2)) if len(kind) else empty, one, n, np.bool_)
         confirmed = (outside | many)[of]
         owner = np.where(outside, np.iinfo(np.int64).min, low)[of]
-        gone = _removed(block, at[confirmed], owner[confirmed], size)
+        return result(block, table, _removed(block, at[confirmed], owner[confirmed], size))
+
+    first = blocks.groupBy("_block").applyInArrow(ask_anchors, X.question_schema(["low", "many"])).groupBy("shard").applyInArrow(recurring, X.ANSWER_SCHEMA)
+    second = blocks.groupBy("_block").cogroup(first.groupBy("block")).applyInArrow(ask_windows, X.question_schema(["more", "low"])).groupBy("shard").applyInArrow(smaller_elsewhere, X.ANSWER_SCHEMA)
+    replies = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
+    return blocks.groupBy("_block").cogroup(replies.groupBy("block")).applyInArrow(remove, schema)
+
+
+def _kept(block: Block, d: int, gone: np.ndarray) -> tuple[int, int, bytes]:
+    """Of a document: its words, those removed, and the rest joined by single spaces."""
+    a, b = int(block.words.first[d]), int(block.words.first[d + 1])
+    own, lost = block.texts[d].split(), gone[a:b]
+    n = int(lost.sum())
+    return b - a, n, b" ".join([w for w, g in zip(own, lost.tolist(), strict=True) if not g] if n else own)
+
+
+def deduplicate(docs: DataFrame, size: int = 13, gram: int = 6, texts: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept.
+
+    kept has the words left, joined by single spaces; kept_sha256 is its SHA-256 as UTF-8.
+    """
+
+    def result(block: Block, _: pa.Table, gone: np.ndarray) -> pa.Table:
         rows = []
-        for d, text in enumerate(block.texts):
-            a, b = int(block.words.first[d]), int(block.words.first[d + 1])
-            own = text.split()
-            lost = gone[a:b]
-            n_lost = int(lost.sum())
-            kept = b" ".join([w for w, g in zip(own, lost.tolist(), strict=True) if not g] if n_lost else own)
-            rows.append((None if block.ids[d] == _NONE else int(block.ids[d]), b - a, n_lost, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
+        for d, i in enumerate(block.ids.tolist()):
+            n, lost, kept = _kept(block, d, gone)
+            rows.append((None if i == _NONE else i, n, lost, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
         cols = list(zip(*rows, strict=True))
         out = {"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
         return pa.table(out | ({"kept": pa.array(cols[4], pa.string())} if texts else {}))
 
-    first = blocks.groupBy("block").applyInArrow(ask_anchors, X.question_schema(["low", "many"])).groupBy("shard").applyInArrow(recurring, X.ANSWER_SCHEMA)
-    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_windows, X.question_schema(["more", "low"])).groupBy("shard").applyInArrow(smaller_elsewhere, X.ANSWER_SCHEMA)
-    replies = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(remove, schema)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _cut(narrow, size, gram, result, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else ""))
+
+
+def without_repeats(docs: DataFrame, size: int = 13, gram: int = 6) -> DataFrame:
+    """``docs``, all columns kept, without the repeated passages.
+
+    A text that loses words has the rest joined by single spaces; n_chars, where there is one,
+    counts what is left; a document of which nothing is left goes.  All other rows stay as they are.
+    """
+    names = docs.columns
+
+    def result(block: Block, table: pa.Table, gone: np.ndarray) -> pa.Table:
+        texts, stay = table.column("text").to_pylist(), np.ones(table.num_rows, dtype=bool)
+        sizes = table.column("n_chars").to_pylist() if "n_chars" in names else None
+        for d, row in enumerate(block.order.tolist()):
+            if gone[int(block.words.first[d]) : int(block.words.first[d + 1])].any():
+                kept = _kept(block, d, gone)[2].decode()
+                texts[row], stay[row] = kept, bool(kept)
+                if sizes:
+                    sizes[row] = len(kept)
+        table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, table.schema.field("text").type))
+        if sizes:
+            table = table.set_column(table.column_names.index("n_chars"), "n_chars", pa.array(sizes, table.schema.field("n_chars").type))
+        return table.select(names).filter(pa.array(stay))
+
+    return _cut(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, gram, result, docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema)
