@@ -28,7 +28,8 @@ from pagemill.llm import exchange as X
 from pagemill.llm import words as W
 from pagemill.llm.store import crc_rest, saved, text_bytes
 
-SHARD_BYTES = 24 << 20
+#: Text bytes whose keys meet in one shard.
+SHARD_BYTES = 12 << 20
 #: Key of the end token: outside the words' texts, so it equals a word's key only by chance, 2^-64.
 END = W.mix(np.array([0xA5A5A5A5A5A5A5A5], dtype=np.uint64))[0]
 _PAIR = np.uint64(0x9FB21C651E98DF25)
