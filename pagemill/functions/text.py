@@ -65,11 +65,16 @@ def repeats_at_end(c: Column, longest: int = 250, base: float = 4.0, scale: floa
     A unit of n characters may stand ``int(base * (1 + scale / n))`` times; one time more fails.
     """
 
-    def broken(n: Column) -> Column:
-        times = (F.lit(base) * (1 + F.lit(scale) / n)).cast("int") + 1
-        return (F.length(c) >= n * times) & (F.right(c, n * times) == F.repeat(F.right(c, n), times))
+    allowed = [(n, n * (int(base * (1 + scale / n)) + 1)) for n in range(1, longest + 1)]
 
-    return F.exists(F.sequence(F.lit(1), F.lit(longest)), broken)
+    def broken(end: Column, unit: Column) -> Column:
+        n, whole = unit["n"], unit["whole"]
+        return (F.length(end) >= whole) & (F.right(end, whole) == F.repeat(F.right(end, n), (whole / n).cast("int")))
+
+    units = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(whole).alias("whole")) for n, whole in allowed))
+    # bound once, so that the units look at a short end and not each at the whole text
+    ends = F.array(F.right(c, F.lit(max(whole for _, whole in allowed))))
+    return F.exists(ends, lambda end: F.exists(units, lambda unit: broken(end, unit)))
 
 
 def repeats_near_end(c: Column, cut: int = 50) -> Column:
