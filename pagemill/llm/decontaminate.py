@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
-from pagemill.llm.store import text_bytes
+from pagemill.llm.store import small_batches, text_bytes
 
 #: Bytes of benchmark text in one slice.
 SLICE_BYTES = 8 << 20
@@ -149,6 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_w
     Spans count words from 0, ends excluded; of several places in a document the best one, then
     the first, is reported.  similarity is between ``threshold`` and 1.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     slices = max(1, -(-text_bytes(tests) // SLICE_BYTES))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import logit
 from pagemill.llm import words as W
-from pagemill.llm.store import crc_rest
+from pagemill.llm.store import crc_rest, small_batches
 
 #: Documents of each language that the classifiers are fitted on, at most.
 PER_LANGUAGE = 1000
@@ -93,6 +93,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, label: str = "lang"
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

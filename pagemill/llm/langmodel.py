@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import exchange as X
 from pagemill.llm import words as W
-from pagemill.llm.store import crc_rest, saved, text_bytes
+from pagemill.llm.store import crc_rest, saved, small_batches, text_bytes
 
 #: Text bytes whose keys meet in one shard.
 SHARD_BYTES = 12 << 20
@@ -109,6 +109,7 @@ def scores(docs: DataFrame, held_out: str = "held_out", mass: float = 0.5) -> Da
 
     ``held_out`` names a boolean column; its false rows are the training documents.
     """
+    small_batches(docs.sparkSession)
     if not 0 < mass < 1:
         raise ValueError("the mass of the bigram arcs lies between 0 and 1")
     total = text_bytes(docs)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
+from pagemill.llm.store import small_batches
 
 K = 3
 #: Diagonals this close belong to one span.
@@ -128,6 +129,7 @@ def spans(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K) -> DataFram
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = spans(docs).groupBy("uid").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
     rows = base(docs).join(found, "uid", "left")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import logit
 from pagemill.llm import words as W
 from pagemill.llm.exchange import groups
+from pagemill.llm.store import small_batches
 
 #: Labelled documents of either quality that the classifier is fitted on, at most.
 PER_CLASS = 1500
@@ -102,6 +103,7 @@ def measures(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def judge(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` but text, and the measures, base_failed, probability and kept."""
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c != "text"]
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
 
@@ -130,6 +132,7 @@ def rules(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
 
 def good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels, per_class=per_class)
     names = docs.columns
 

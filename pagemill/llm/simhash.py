@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
 from pagemill.llm.graph import components
-from pagemill.llm.store import saved
+from pagemill.llm.store import saved, small_batches
 from pagemill.llm.words import encoded
 
 #: 64 bits in four parts; two differing bits leave two parts whole, so six pairs of parts suffice.
@@ -102,6 +102,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
 
     component_id is the smallest doc_id reachable over links of ``max_distance`` differing bits.
     """
+    small_batches(docs.sparkSession)
     fps = saved(fingerprints(docs, shingle), "fingerprints")
     each = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(each.select("fp"), max_distance))
@@ -170,8 +171,8 @@ def _verified(pairs: DataFrame, described: DataFrame, similarity: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
                 low, high = sorted((len(one), len(two)))
                 both = len(np.intersect1d(one, two, assume_unique=True)) if low >= similarity * high else 0
                 keep.append(both >= similarity * (low + high - both))
@@ -196,6 +197,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     Null ids are in no group; rows that share a doc_id are one document.
     """
+    small_batches(docs.sparkSession)
     count = docs.count()
     bits = min(30, max(16, int(np.ceil(np.log2(max(2, count)))) + 5))
     described = saved(_described(docs, shingle, bits), "described")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import exchange as X
 from pagemill.llm import words as W
-from pagemill.llm.store import text_bytes
+from pagemill.llm.store import small_batches, text_bytes
 
 #: Text bytes whose keys meet in one shard.
 SHARD_BYTES = 24 << 20
@@ -170,6 +170,7 @@ def _removed(block: Block, at: np.ndarray, owner: np.ndarray, size: int) -> np.n
 
 def _cut(docs: DataFrame, size: int, gram: int, result: Callable[[Block, pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """What ``result`` makes of each block, its rows and the flags of the words to remove."""
+    small_batches(docs.sparkSession)
     if not 1 < gram <= size:
         raise ValueError("an anchor gram has two words or more and fits a window")
     total = text_bytes(docs)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import logit
 from pagemill.llm import words as W
-from pagemill.llm.store import crc_rest, label_sample
+from pagemill.llm.store import crc_rest, label_sample, small_batches
 
 #: Labelled documents of either kind that lexicon and scale are learnt from, at most.
 PER_CLASS = 3000
@@ -179,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score, predicted and n_matches for every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
