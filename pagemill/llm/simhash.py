@@ -114,6 +114,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
 
 #: Blocks of a wide fingerprint; every text is filed under each of them.
 WIDE_BLOCKS = 40
+#: Least shingle hashes of a text that are kept: all of most texts, an even sample of the whole of a longer one.
+SKETCH = 1024
 
 
 def _wide_keys(features: np.ndarray, bits: int) -> np.ndarray:
@@ -143,7 +145,7 @@ def _described(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
                     same.append(xxhash.xxh3_128_digest(own.tobytes()))
                     keys.append(_wide_keys(np.unique(two[a : z - 1] if z - a > 1 else own), bits).astype(np.int32))
                     grams = runs[a : z - shingle + 1] if z - a >= shingle else np.array([xxhash.xxh64_intdigest(own.tobytes())] if z > a else [], dtype=np.uint64)
-                    sets.append(np.unique((grams >> np.uint64(32)).astype(np.uint32)).tobytes())
+                    sets.append(np.unique((grams >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int32())), pa.array(sets, pa.binary())], names=["doc_id", "same", "keys", "grams"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, keys array<int>, grams binary")
@@ -165,6 +167,15 @@ def _proposed(filed: DataFrame, bits: int) -> DataFrame:
     return pairs.unionByName(stars).unionByName(rows).distinct()
 
 
+def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    """Of two sets of least hashes; exact where neither was cut, else over the range that both cover."""
+    for cut in (one, two):
+        if len(cut) == SKETCH:
+            one, two = one[: np.searchsorted(one, cut[-1], "right")], two[: np.searchsorted(two, cut[-1], "right")]
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both / max(1, len(one) + len(two) - both)
+
+
 def _verified(pairs: DataFrame, described: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have the Jaccard similarity or more."""
 
@@ -173,9 +184,7 @@ def _verified(pairs: DataFrame, described: DataFrame, similarity: float) -> Data
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 one, two = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
-                low, high = sorted((len(one), len(two)))
-                both = len(np.intersect1d(one, two, assume_unique=True)) if low >= similarity * high else 0
-                keep.append(both >= similarity * (low + high - both))
+                keep.append(_jaccard(one, two) >= similarity)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     sets = described.select("doc_id", "grams")
@@ -191,7 +200,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     first.  The others are filed under 40 blocks of a wide SimHash over their distinct word
     pairs, whose bits differ less than long shingles do: of substituted words that leave 0.8 of
     the shingles, 98 of 100 texts keep a block whole.  Blocks are as long as the number of texts
-    needs to keep files small.  Pairs from a file are verified on the whole shingle sets.
+    needs to keep files small.  Pairs from a file are verified on their shingle sets, exactly up
+    to ``SKETCH`` shingles and within 0.0125 (one standard deviation) beyond.
     A file of very many near copies is linked by its least text and by neighbours, and once more
     between the groups that are left in it, without comparing all its pairs.
 
