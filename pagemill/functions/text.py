@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Typographic characters and their plain forms, in pairs.
 FANCY = "‘’‚“”„＿–—‑‒−µ"
@@ -32,7 +33,7 @@ def clean_response(c: Column) -> Column:
     return stripped(_cut_prefix(_cut_prefix(c, "markdown"), "html"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
