@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -164,7 +164,7 @@ def to_markdown(html: str, drop_head: bool = False) -> str:
     """
     html = re.sub(_IMAGE_BLOCK, "", html)
     if "<" not in html:
-        return html.strip()
+        return unescape(html).strip()
     parser = _Markdown(drop_head)
     parser.feed(html)
     return parser.text()
