@@ -21,15 +21,13 @@ def ordered(nodes: DataFrame, root: int | str, depth: int = 32) -> DataFrame:
     ``nodes`` has node_id, parent_id and child_pos.  The walk is a recursive query that carries
     the positions from the root, whose order is the reading order; ``depth`` stops a cycle.
     """
-    view = f"tree_{abs(hash((id(nodes), root)))}"
-    nodes.select("node_id", "parent_id", "child_pos").createOrReplaceTempView(view)
-    start = f"'{root}'" if isinstance(root, str) else root
-    return nodes.sparkSession.sql(f"""
+    query = f"""
         WITH RECURSIVE walk(node_id, level, path) MAX RECURSION LEVEL {depth} AS (
-          SELECT node_id, 1, lpad(CAST(child_pos AS STRING), 8, '0') FROM {view} WHERE parent_id = {start}
+          SELECT node_id, 1, lpad(CAST(child_pos AS STRING), 8, '0') FROM {{nodes}} WHERE parent_id = {{root}}
           UNION ALL
-          SELECT n.node_id, w.level + 1, concat(w.path, '.', lpad(CAST(n.child_pos AS STRING), 8, '0')) FROM walk w JOIN {view} n ON n.parent_id = w.node_id)
-        SELECT node_id, level, path FROM walk""")
+          SELECT n.node_id, w.level + 1, concat(w.path, '.', lpad(CAST(n.child_pos AS STRING), 8, '0')) FROM walk w JOIN {{nodes}} n ON n.parent_id = w.node_id)
+        SELECT node_id, level, path FROM walk"""
+    return nodes.sparkSession.sql(query, nodes=nodes.select("node_id", "parent_id", "child_pos"), root=root)
 
 
 def with_captions(items: DataFrame, captions: DataFrame) -> DataFrame:
