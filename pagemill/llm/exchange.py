@@ -19,10 +19,15 @@ from pagemill.llm.words import mix
 BLOCK_BYTES = 4 << 20
 
 
-def with_blocks(docs: DataFrame, total_bytes: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """A block number before the columns of ``docs``; the number of blocks follows the size of the input."""
-    n = max(1, -(-total_bytes // block_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("_block"), *docs.columns), n
+def with_blocks(docs: DataFrame, total_bytes: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
+    """A block number before the columns of ``docs``, and the name of its column.
+
+    The number of blocks follows the size of the input.
+    """
+    n, name = max(1, -(-total_bytes // block_bytes)), "_block"
+    while name in docs.columns:
+        name += "_"
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias(name), *(F.col(f"`{c}`") for c in docs.columns)), name
 
 
 def shards_of(keys: np.ndarray, n_shards: int) -> np.ndarray:

@@ -51,15 +51,17 @@ def label_sample(keys: DataFrame, strata: str, per_stratum: int) -> DataFrame:
     """At most ``per_stratum`` rows of each value of ``strata``, chosen by a hash of doc_id.
 
     ``keys`` has doc_id and the stratum.  A fixed hash makes the choice the same in every run.
-    Each task keeps its own lowest ranks first, so that no task sees all rows of a stratum.
+    A stratum's size sets the part of the hashes that is looked at, a little more than needed,
+    so that only so many rows are ranked, whatever the size of the table.
     """
     from pyspark.sql import Window
 
-    ranked = keys.where(F.col("doc_id").isNotNull() & F.col(strata).isNotNull()).select("doc_id", strata, F.xxhash64("doc_id", F.lit(7)).alias("_rank"))
-    for parts in (F.pmod(F.xxhash64("doc_id"), F.lit(64)), F.lit(0)):
-        w = Window.partitionBy(strata, "_part").orderBy("_rank", "doc_id")
-        ranked = ranked.withColumn("_part", parts).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_stratum).drop("_n", "_part")
-    return ranked.drop("_rank")
+    span = 1 << 40
+    ranked = keys.where(F.col("doc_id").isNotNull() & F.col(strata).isNotNull()).select("doc_id", strata, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(span)).alias("_rank"))
+    sizes = ranked.groupBy(strata).agg(F.count("*").alias("_size"))
+    near = ranked.join(sizes, strata).where(F.col("_rank") <= span * (1.2 * per_stratum + 200) / F.col("_size"))
+    order = Window.partitionBy(strata).orderBy("_rank", "doc_id")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_stratum).select("doc_id", strata)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

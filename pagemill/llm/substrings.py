@@ -174,13 +174,13 @@ def _cut(docs: DataFrame, size: int, gram: int, result: Callable[[Block, pa.Tabl
     if not 1 < gram <= size:
         raise ValueError("an anchor gram has two words or more and fits a window")
     total = text_bytes(docs)
-    blocks, _ = X.with_blocks(docs, total)
+    blocks, number = X.with_blocks(docs, total)
     n = max(1, -(-total // SHARD_BYTES))
     empty = pa.table({"block": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         keys, low, many, _ = _anchors(Block.of(table, size, gram))
-        return X.questions(table.column("_block")[0].as_py(), keys, {"low": low, "many": many}, n)
+        return X.questions(table.column(number)[0].as_py(), keys, {"low": low, "many": many}, n)
 
     def recurring(table: pa.Table) -> pa.Table:
         blocks, cut, got = X.unpacked(table, {"key": np.uint64, "low": np.int64, "many": np.bool_})
@@ -199,7 +199,7 @@ def _cut(docs: DataFrame, size: int, gram: int, result: Callable[[Block, pa.Tabl
             return X.questions(0, np.zeros(0, dtype=np.uint64), {"more": np.zeros(0, dtype=np.uint32), "low": np.zeros(0, dtype=np.int64)}, n)
         block = Block.of(table, size, gram)
         one, two, low, *_ = _windows(block, flagged(block, reply), size)
-        return X.questions(table.column("_block")[0].as_py(), one, {"more": two, "low": low}, n)
+        return X.questions(table.column(number)[0].as_py(), one, {"more": two, "low": low}, n)
 
     def smaller_elsewhere(table: pa.Table) -> pa.Table:
         blocks, cut, got = X.unpacked(table, {"key": np.uint64, "more": np.uint32, "low": np.int64})
@@ -217,10 +217,10 @@ def _cut(docs: DataFrame, size: int, gram: int, result: Callable[[Block, pa.Tabl
         owner = np.where(outside, np.iinfo(np.int64).min, low)[of]
         return result(block, table, _removed(block, at[confirmed], owner[confirmed], size))
 
-    first = blocks.groupBy("_block").applyInArrow(ask_anchors, X.question_schema(["low", "many"])).groupBy("shard").applyInArrow(recurring, X.ANSWER_SCHEMA)
-    second = blocks.groupBy("_block").cogroup(first.groupBy("block")).applyInArrow(ask_windows, X.question_schema(["more", "low"])).groupBy("shard").applyInArrow(smaller_elsewhere, X.ANSWER_SCHEMA)
+    first = blocks.groupBy(number).applyInArrow(ask_anchors, X.question_schema(["low", "many"])).groupBy("shard").applyInArrow(recurring, X.ANSWER_SCHEMA)
+    second = blocks.groupBy(number).cogroup(first.groupBy("block")).applyInArrow(ask_windows, X.question_schema(["more", "low"])).groupBy("shard").applyInArrow(smaller_elsewhere, X.ANSWER_SCHEMA)
     replies = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
-    return blocks.groupBy("_block").cogroup(replies.groupBy("block")).applyInArrow(remove, schema)
+    return blocks.groupBy(number).cogroup(replies.groupBy("block")).applyInArrow(remove, schema)
 
 
 def _kept(block: Block, d: int, gone: np.ndarray) -> tuple[int, int, bytes]:

@@ -55,6 +55,8 @@ def test_passages_are_cut_and_other_rows_stay(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"one\n{passage}\nend", "x", 0), (2, f"two {passage}  tail", "y", 5), (3, "a\n b", "z", 3), (4, passage, "q", 7), (None, passage, "n", None), (5, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    clashing = substrings.without_repeats(df.withColumnRenamed("source", "_block"))
+    assert clashing.columns == ["doc_id", "text", "_block", "n_chars"] and clashing.count() == 5
     got = {(r.doc_id, r.text, r.source, r.n_chars) for r in substrings.without_repeats(df).collect()}
     assert got == {rows[0], (2, "two tail", "y", 8), rows[2], rows[4], rows[5]}
     assert substrings.without_repeats(df.where("false")).schema == df.schema
