@@ -151,8 +151,8 @@ def _described(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, keys array<int>, grams binary")
 
 
-def _proposed(filed: DataFrame, bits: int) -> DataFrame:
-    """Pairs (u, v) of nodes in one file: all in small files; in large ones the least with every other, and neighbours by ``near``.
+def _proposed(filed: DataFrame, bits: int, neighbours: bool) -> DataFrame:
+    """Pairs (u, v) of nodes in one file: all in small files; in large ones the least with every other and, if asked, neighbours by ``near``.
 
     ``filed`` has which, key, node and near, each node once in a file.
     """
@@ -161,6 +161,8 @@ def _proposed(filed: DataFrame, bits: int) -> DataFrame:
     small, large = shared.where(F.col("n") <= PAIRWISE), shared.where(F.col("n") > PAIRWISE)
     pairs = small.select("which", "key", F.col("node").alias("u")).join(small.select("which", "key", F.col("node").alias("v")), ["which", "key"]).where("u > v").select("u", "v")
     stars = large.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    if not neighbours:
+        return pairs.unionByName(stars).distinct()
     # a salt by the leading part of near keeps the order of a huge file out of one task
     order = Window.partitionBy("which", "key", F.shiftright("near", max(0, bits - 6))).orderBy("near", "node")
     rows = large.withColumn("v", F.lag("node").over(order)).where("v is not null").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
@@ -192,7 +194,7 @@ def _verified(pairs: DataFrame, described: DataFrame, similarity: float) -> Data
     return joined.select("u", "v", "one", "two").mapInArrow(run, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
     """(doc_id, group_id) for each document that has near copies; group_id is its group's least doc_id.
 
     Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word
@@ -202,8 +204,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     the shingles, 98 of 100 texts keep a block whole.  Blocks are as long as the number of texts
     needs to keep files small.  Pairs from a file are verified on their shingle sets, exactly up
     to ``SKETCH`` shingles and within 0.0125 (one standard deviation) beyond.
-    A file of very many near copies is linked by its least text and by neighbours, and once more
-    between the groups that are left in it, without comparing all its pairs.
+    A file of very many near copies is linked by its least text; in further rounds one text of
+    each group that is left in such a file is linked with the least and with its neighbours, so
+    that never all pairs of a file are compared.
 
     Null ids are in no group; rows that share a doc_id are one document.
     """
@@ -223,9 +226,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
             crowded = files.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).drop("n")
             named = files.join(crowded, ["which", "key"], "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
             seats = named.groupBy("which", "key", "label").agg(F.min("node").alias("node"), F.min_by("near", "node").alias("near"))
-            pairs = _proposed(seats.drop("label"), bits)
+            pairs = _proposed(seats.drop("label"), bits, neighbours=True)
         else:
-            pairs = _proposed(files, bits)
+            pairs = _proposed(files, bits, neighbours=False)
         found = _verified(pairs, described.dropDuplicates(["doc_id"]), similarity)
         edges = saved(found if edges is None else edges.unionByName(found), "links")
         label = components(edges)
