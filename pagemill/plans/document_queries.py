@@ -146,12 +146,12 @@ def cell_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uri_cells(spark, sf_dir).select("page_id", "cell_pos", T.item_markdown(F.col("text"), F.col("uri")).alias("markdown"))
 
 
-@query(f"WITH {USAGE} SELECT doc_id, count(*) AS n_pages, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, count(completion_tokens) AS n_with_completion FROM usage GROUP BY doc_id")
+@query(f"WITH {USAGE} SELECT doc_id, count(*) AS n_pages, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, count(completion_tokens) AS n_with_completion FROM usage GROUP BY doc_id")
 def doc_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count("completion_tokens").alias("n_with_completion"))
 
 
-@query(f"WITH {USAGE} SELECT doc_id, sum(latency_ms) AS total_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 6) AS avg_ms FROM usage GROUP BY doc_id")
+@query(f"WITH {USAGE} SELECT doc_id, CAST(sum(latency_ms) AS BIGINT) AS total_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 6) AS avg_ms FROM usage GROUP BY doc_id")
 def doc_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage(spark, sf_dir).groupBy("doc_id").agg(F.sum("latency_ms").alias("total_ms"), F.max("latency_ms").alias("max_ms"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"))
 

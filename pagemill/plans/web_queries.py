@@ -36,7 +36,7 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.tagged(F.col("html"), "h1")).alias("pos", "heading"))
 
 
-@query(f"WITH {LINKS} SELECT page_id, count(*) AS n_links, count(DISTINCT uri) AS n_uris, min(uri) AS first_uri, sum(length(text)) AS n_chars FROM links GROUP BY page_id")
+@query(f"WITH {LINKS} SELECT page_id, count(*) AS n_links, count(DISTINCT uri) AS n_uris, min(uri) AS first_uri, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM links GROUP BY page_id")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.plans.inputs import links
 
