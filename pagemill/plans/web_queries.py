@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
@@ -213,18 +213,11 @@ def doc_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ordered(_tree(spark, sf_dir), "root")
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT CAST(row_number() OVER (ORDER BY path) AS INT) AS item_pos, walk.node_id, label, text FROM walk JOIN tree ON walk.node_id = tree.node_id WHERE label <> 'group'")
+@query(f"WITH RECURSIVE {_TREE} SELECT split_part(path, '.', 1) AS doc_id, CAST(row_number() OVER (PARTITION BY split_part(path, '.', 1) ORDER BY path) AS INT) AS item_pos, walk.node_id, label, text FROM walk JOIN tree ON walk.node_id = tree.node_id WHERE label <> 'group'")
 def tree_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     nodes = _tree(spark, sf_dir)
-    items = T.ordered(nodes, "root").join(nodes, "node_id").where("label <> 'group'")
-    # numbered below each top node and moved by what stands before it, so that no task has all
-    top = F.substring("path", 1, 8)
-    counts = items.groupBy(top.alias("top")).agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.top") < F.col("a.top"), "left").groupBy("a.top").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    own = items.withColumn("top", top).withColumn("n", F.row_number().over(Window.partitionBy("top").orderBy("path")))
-    return own.join(F.broadcast(before), "top").select((F.col("n") + F.col("before")).cast("int").alias("item_pos"), "node_id", "label", "text")
+    items = T.ordered(nodes, "root").join(nodes, "node_id").where("label <> 'group'").withColumn("doc_id", F.split_part("path", F.lit("."), F.lit(1)))
+    return items.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).alias("item_pos"), "node_id", "label", "text")
 
 
 @query(f"WITH RECURSIVE {_TREE}, i AS (SELECT * FROM walk JOIN tree USING (node_id) WHERE label <> 'group') SELECT split_part(path, '.', 1) AS doc_id, string_agg(CASE label WHEN 'section_header' THEN concat(repeat('#', level), ' ', text) ELSE concat('- ', text) END, chr(10) || chr(10) ORDER BY path) AS text FROM i GROUP BY ALL")
