@@ -93,3 +93,23 @@ def test_stages_run_one_after_another(spark, tmp_path):
     assert {r.doc_id for r in got} == {d for d, k in kind.items() if k == "clean"}
     assert all(r.round_trip for r in got)
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).collect()) == got
+
+
+def test_stages_take_nulls_no_rows_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(40))
+    very_long = " ".join(f"v{i}" for i in range(30_000))
+    docs = [(1, long, None, None, None, 1), (1, long, None, None, None, 1), (2, None, "en", None, 3, 2), (3, "", "en", "s", 0, 3), (None, long, "en", "s", 9, 4), (None, None, None, None, None, None), (4, very_long, "en", "s", 9, 5), (5, very_long, "en", "s", 9, 6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label int"
+    labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, "a b c d e f"), (1, None)], "item_id long, text string")
+    for name, rows in (("full", docs), ("none", [])):
+        for table, df in (("documents", spark.createDataFrame(rows, schema)), ("labels", labels if rows else labels.where("false")), ("benchmark", bench if rows else bench.where("false"))):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, f"{tmp_path}/{name}")
+            assert k == 4 or now.columns == [c.split()[0] for c in schema.split(", ")]
+            now.write.parquet(f"{tmp_path}/{name}-{k}")
+            now = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+        # rows without words go, rows of one doc_id or without an id stay
+        assert sorted(str(r.doc_id) for r in now.collect()) == (["1", "1", "4", "None"] if rows else [])
