@@ -114,6 +114,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
 
 #: Blocks of a wide fingerprint; every text is filed under each of them.
 WIDE_BLOCKS = 40
+#: Files of up to so many texts are compared pair by pair.
+CROWDED = 10
 #: Least shingle hashes of a text that are kept: all of most texts, an even sample of the whole of a longer one.
 SKETCH = 1024
 
@@ -151,22 +153,35 @@ def _described(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, keys array<int>, grams binary")
 
 
-def _proposed(filed: DataFrame, bits: int, neighbours: bool) -> DataFrame:
-    """Pairs (u, v) of nodes in one file: all in small files; in large ones the least with every other and, if asked, neighbours by ``near``.
+def _pairs(filed: DataFrame, unlike: bool = False) -> DataFrame:
+    """All pairs (u, v) of nodes in one file; with ``unlike`` those of different labels only."""
+    own = filed.select("which", "key", F.col("node").alias("u"), F.col("label").alias("u_label"))
+    other = filed.select("which", "key", F.col("node").alias("v"), F.col("label").alias("v_label"))
+    met = own.join(other, ["which", "key"]).where("u > v")
+    return (met.where("u_label <> v_label") if unlike else met).select("u", "v")
 
-    ``filed`` has which, key, node and near, each node once in a file.
+
+def _left_over(filed: DataFrame, label: DataFrame, bits: int, small: bool) -> DataFrame:
+    """Pairs from files that still hold several groups.
+
+    In small files (asked for once) all pairs of different groups.  In large ones one text of
+    each group: all pairs of these if they are few, else the least with every other, and neighbours.
     """
-    sizes = filed.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    shared = filed.join(sizes, ["which", "key"])
-    small, large = shared.where(F.col("n") <= PAIRWISE), shared.where(F.col("n") > PAIRWISE)
-    pairs = small.select("which", "key", F.col("node").alias("u")).join(small.select("which", "key", F.col("node").alias("v")), ["which", "key"]).where("u > v").select("u", "v")
-    stars = large.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    if not neighbours:
-        return pairs.unionByName(stars).distinct()
-    # a salt by the leading part of near keeps the order of a huge file out of one task
+    named = filed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("which", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("which", "key")
+    rows = named.join(mixed, ["which", "key"])
+    seats = rows.where(F.col("n") > CROWDED).groupBy("which", "key", "label").agg(F.min("node").alias("node"), F.min_by("near", "node").alias("near"))
+    sizes = seats.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    seats = seats.join(sizes, ["which", "key"])
+    many = seats.where(F.col("n") > CROWDED)
+    stars = many.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    # split by the leading part of near, which keeps the order of a huge file out of one task
     order = Window.partitionBy("which", "key", F.shiftright("near", max(0, bits - 6))).orderBy("near", "node")
-    rows = large.withColumn("v", F.lag("node").over(order)).where("v is not null").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
-    return pairs.unionByName(stars).unionByName(rows).distinct()
+    beside = many.withColumn("v", F.lag("node").over(order)).where("v is not null").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
+    out = _pairs(seats.where(F.col("n") <= CROWDED)).unionByName(stars).unionByName(beside)
+    if small:
+        out = out.unionByName(_pairs(rows.where(F.col("n") <= CROWDED), unlike=True))
+    return out.distinct()
 
 
 def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
@@ -204,9 +219,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     the shingles, 98 of 100 texts keep a block whole.  Blocks are as long as the number of texts
     needs to keep files small.  Pairs from a file are verified on their shingle sets, exactly up
     to ``SKETCH`` shingles and within 0.0125 (one standard deviation) beyond.
-    A file of very many near copies is linked by its least text; in further rounds one text of
-    each group that is left in such a file is linked with the least and with its neighbours, so
-    that never all pairs of a file are compared.
+    First each file's texts are compared with its least one.  Then small files are compared in
+    all pairs of texts that aren't in one group yet, and of very large ones one text of each
+    group that is left, so that never all pairs of a large file are compared.
 
     Null ids are in no group; rows that share a doc_id are one document.
     """
@@ -219,19 +234,17 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     members = described.select("doc_id", "same").join(classes, "same").select("doc_id", "node").distinct()
     # the keys are those of the node itself
     own = described.join(members.where("doc_id = node").select("node"), described.doc_id == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    files = saved(own.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("which", "key"), F.element_at("keys", -1).alias("near")), "files")
-    edges = label = None
-    for turn in range(rounds):
-        if turn:
-            crowded = files.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).drop("n")
-            named = files.join(crowded, ["which", "key"], "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            seats = named.groupBy("which", "key", "label").agg(F.min("node").alias("node"), F.min_by("near", "node").alias("near"))
-            pairs = _proposed(seats.drop("label"), bits, neighbours=True)
-        else:
-            pairs = _proposed(files, bits, neighbours=False)
-        found = _verified(pairs, described.dropDuplicates(["doc_id"]), similarity)
-        edges = saved(found if edges is None else edges.unionByName(found), "links")
-        label = components(edges)
+    files = own.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("which", "key"), F.element_at("keys", -1).alias("near"))
+    sizes = files.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    shared = saved(files.join(sizes, ["which", "key"]), "files")
+    once = described.dropDuplicates(["doc_id"])
+    pairs = shared.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    links = saved(_verified(pairs, once, similarity), "links")
+    label = components(links)
+    for turn in range(1, rounds):
+        found = _verified(_left_over(shared, label, bits, small=turn == 1), once, similarity)
+        links = saved(links.unionByName(found), "links")
+        label = components(links)
     return members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group_id")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 
