@@ -76,9 +76,11 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, featurize: Featurize
     found = sorted((r.doc_id, r.label, r.at, r.x) for r in rows.mapInArrow(run, "doc_id long, label string, at binary, x binary").collect())
     width = featurize([b""]).shape[1]
     out = np.zeros((len(found), width), dtype=np.float32)
-    for r, (_, _, at, x) in zip(out, found, strict=True):
-        r[np.frombuffer(at, dtype=np.int32)] = np.frombuffer(x, dtype=np.float32)
-    return [f[1] for f in found], out
+    names = [f[1] for f in found]
+    for k in reversed(range(len(out))):  # what is copied is freed
+        _, _, at, x = found.pop()
+        out[k, np.frombuffer(at, dtype=np.int32)] = np.frombuffer(x, dtype=np.float32)
+    return names, out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,7 +97,7 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 200) ->
     weight = np.where(y > 0, 0.5 / ones, 0.5 / np.maximum(1, len(y) - y.sum(axis=0))).astype(np.float32)
     w, b = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
     ahead_w, ahead_b = w, b
-    rate = np.float32(4.0 / (1.0 + float((x * x).sum(axis=1).max(initial=0))) / (1 + 4 * decay))
+    rate = np.float32(4.0 / (1.0 + float(np.einsum("ij,ij->i", x, x).max(initial=0))) / (1 + 4 * decay))
     for k in range(steps):
         slope = (sigmoid(x @ ahead_w + ahead_b) - y) * weight
         new_w, new_b = ahead_w - rate * (x.T @ slope + decay * ahead_w), ahead_b - rate * slope.sum(axis=0)

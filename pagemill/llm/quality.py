@@ -25,7 +25,7 @@ from pagemill.llm.exchange import groups
 from pagemill.llm.store import small_batches
 
 #: Labelled documents of either quality that the classifier is fitted on, at most.
-PER_CLASS = 1500
+PER_CLASS = 1200
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Documents whose probability of good quality is lower are rejected.
