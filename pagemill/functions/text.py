@@ -70,11 +70,13 @@ def repeats_at_end(c: Column, longest: int = 250, base: float = 4.0, scale: floa
 
     def broken(end: Column, unit: Column) -> Column:
         n, whole = unit["n"], unit["whole"]
-        return (F.length(end) >= whole) & (F.right(end, whole) == F.repeat(F.right(end, n), (whole / n).cast("int")))
+        # one character first: it settles most units
+        same = F.substr(end, F.lit(1), F.lit(1)) == F.substr(end, n + 1, F.lit(1))
+        return (F.length(end) >= whole) & same & (F.left(end, whole) == F.repeat(F.left(end, n), (whole / n).cast("int")))
 
     units = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(whole).alias("whole")) for n, whole in allowed))
-    # bound once, so that the units look at a short end and not each at the whole text
-    ends = F.array(F.right(c, F.lit(max(whole for _, whole in allowed))))
+    # bound once and backwards, so that the units look at the start of a short text and not each at the whole
+    ends = F.array(F.reverse(F.right(c, F.lit(max(whole for _, whole in allowed)))))
     return F.exists(ends, lambda end: F.exists(units, lambda unit: broken(end, unit)))
 
 
