@@ -167,11 +167,10 @@ def _left_over(filed: DataFrame, label: DataFrame, bits: int, small: bool) -> Da
     In small files (asked for once) all pairs of different groups.  In large ones one text of
     each group: all pairs of these if they are few, else the least with every other, and neighbours.
     """
-    named = filed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("which", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("which", "key")
-    rows = named.join(mixed, ["which", "key"])
-    seats = rows.where(F.col("n") > CROWDED).groupBy("which", "key", "label").agg(F.min("node").alias("node"), F.min_by("near", "node").alias("near"))
-    sizes = seats.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    rows = filed if small else filed.where(F.col("n") > CROWDED)
+    named = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    seats = named.where(F.col("n") > CROWDED).groupBy("which", "key", "label").agg(F.min("node").alias("node"), F.min_by("near", "node").alias("near"))
+    sizes = seats.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     seats = seats.join(sizes, ["which", "key"])
     many = seats.where(F.col("n") > CROWDED)
     stars = many.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
@@ -180,7 +179,7 @@ def _left_over(filed: DataFrame, label: DataFrame, bits: int, small: bool) -> Da
     beside = many.withColumn("v", F.lag("node").over(order)).where("v is not null").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
     out = _pairs(seats.where(F.col("n") <= CROWDED)).unionByName(stars).unionByName(beside)
     if small:
-        out = out.unionByName(_pairs(rows.where(F.col("n") <= CROWDED), unlike=True))
+        out = out.unionByName(_pairs(named.where(F.col("n") <= CROWDED), unlike=True))
     return out.distinct()
 
 
