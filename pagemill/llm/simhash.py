@@ -114,8 +114,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
 
 #: Blocks of a wide fingerprint; every text is filed under each of them.
 WIDE_BLOCKS = 40
-#: Files of up to so many texts are compared pair by pair.
-CROWDED = 10
+#: Texts of a file that one task compares with those of the file's other groups.
+PART = 256
 #: Least shingle hashes of a text that are kept: all of most texts, an even sample of the whole of a longer one.
 SKETCH = 1024
 
@@ -153,34 +153,32 @@ def _described(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, keys array<int>, grams binary")
 
 
-def _pairs(filed: DataFrame, unlike: bool = False) -> DataFrame:
-    """All pairs (u, v) of nodes in one file; with ``unlike`` those of different labels only."""
-    own = filed.select("which", "key", F.col("node").alias("u"), F.col("label").alias("u_label"))
-    other = filed.select("which", "key", F.col("node").alias("v"), F.col("label").alias("v_label"))
-    met = own.join(other, ["which", "key"]).where("u > v")
-    return (met.where("u_label <> v_label") if unlike else met).select("u", "v")
+def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of ``shared`` in files that still hold several groups, with label, the file's largest group (big) and its size (n)."""
+    named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = named.groupBy("key", "label").agg(F.count("*").alias("m"))
+    files = groups.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("big"), F.count("*").alias("groups"), F.sum("m").alias("n"))
+    return named.join(files.where("groups > 1").drop("groups"), "key")
 
 
-def _left_over(filed: DataFrame, label: DataFrame, bits: int, small: bool) -> DataFrame:
-    """Pairs from files that still hold several groups.
+def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each text outside its file's largest group (each text where ``big`` is null) with one text of that group.
 
-    In small files (asked for once) all pairs of different groups.  In large ones one text of
-    each group: all pairs of these if they are few, else the least with every other, and neighbours.
+    Another text in each turn and in each fourth of the files, so that one odd text parts no group.
     """
-    rows = filed if small else filed.where(F.col("n") > CROWDED)
-    named = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    seats = named.where(F.col("n") > CROWDED).groupBy("which", "key", "label").agg(F.min("node").alias("node"), F.min_by("near", "node").alias("near"))
-    sizes = seats.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    seats = seats.join(sizes, ["which", "key"])
-    many = seats.where(F.col("n") > CROWDED)
-    stars = many.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    # split by the leading part of near, which keeps the order of a huge file out of one task
-    order = Window.partitionBy("which", "key", F.shiftright("near", max(0, bits - 6))).orderBy("near", "node")
-    beside = many.withColumn("v", F.lag("node").over(order)).where("v is not null").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
-    out = _pairs(seats.where(F.col("n") <= CROWDED)).unionByName(stars).unionByName(beside)
-    if small:
-        out = out.unionByName(_pairs(named.where(F.col("n") <= CROWDED), unlike=True))
-    return out.distinct()
+    order = F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4))).alias("order")
+    hubs = rows.where("label <=> big or big is null").groupBy("key").agg(F.min(F.struct(order, "node")).alias("hub"))
+    met = rows.where("label <> big or big is null").join(hubs, "key").where("node <> hub.node")
+    return met.select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v")).distinct()
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """All pairs of texts in one file and different groups; the rows of a file are dealt into parts of about ``PART``."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    one = rows.where("label <> big").select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    two = rows.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"), "big", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    met = one.join(two, ["key", "part"]).where("a_label <> b_label and (b_label = big or a > b)")
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
 def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
@@ -218,9 +216,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     the shingles, 98 of 100 texts keep a block whole.  Blocks are as long as the number of texts
     needs to keep files small.  Pairs from a file are verified on their shingle sets, exactly up
     to ``SKETCH`` shingles and within 0.0125 (one standard deviation) beyond.
-    First each file's texts are compared with its least one.  Then small files are compared in
-    all pairs of texts that aren't in one group yet, and of very large ones one text of each
-    group that is left, so that never all pairs of a large file are compared.
+    First each file's texts are compared with one of them, then those outside the file's largest
+    group with one of that group; the last round compares all pairs of a file, whatever its size,
+    that aren't in one group yet.
 
     Null ids are in no group; rows that share a doc_id are one document.
     """
@@ -233,15 +231,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     members = described.select("doc_id", "same").join(classes, "same").select("doc_id", "node").distinct()
     # the keys are those of the node itself
     own = described.join(members.where("doc_id = node").select("node"), described.doc_id == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    files = own.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("which", "key"), F.element_at("keys", -1).alias("near"))
-    sizes = files.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    shared = saved(files.join(sizes, ["which", "key"]), "files")
+    files = own.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("which", "key")).select("node", F.shiftleft(F.col("which").cast("long"), 32).bitwiseOR(F.col("key").cast("long")).alias("key"))
+    shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key"), "files")
     once = described.dropDuplicates(["doc_id"])
-    pairs = shared.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    links = saved(_verified(pairs, once, similarity), "links")
+    none = F.lit(None).cast("long")
+    links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0), once, similarity), "links")
     label = components(links)
     for turn in range(1, rounds):
-        found = _verified(_left_over(shared, label, bits, small=turn == 1), once, similarity)
+        rows = _mixed(shared, label)
+        found = _verified(_with_hubs(rows, turn) if turn < rounds - 1 else _across(rows), once, similarity)
         links = saved(links.unionByName(found), "links")
         label = components(links)
     return members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group_id")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))

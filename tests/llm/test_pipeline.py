@@ -113,3 +113,38 @@ def test_stages_take_nulls_no_rows_and_clashing_columns(spark, tmp_path):
             now = spark.read.parquet(f"{tmp_path}/{name}-{k}")
         # rows without words go, rows of one doc_id or without an id stay
         assert sorted(str(r.doc_id) for r in now.collect()) == (["1", "1", "4", "None"] if rows else [])
+
+
+def brute_groups(rows):
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if jaccard(a, b) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {d: find(d) for d, _ in rows}
+
+
+def test_pairs_in_a_crowded_family_are_found(spark):
+    """Form letters that share most words, under 0.8 to each other; each has one near copy."""
+    rng = random.Random(5)
+    frame = [f"f{rng.randrange(400)}" for _ in range(200)]
+    rows = []
+    for i in range(120):
+        letter = frame[:86] + [f"own{i}x{k}" for k in range(20)] + frame[106:]
+        copy = list(letter)
+        for _ in range(4):
+            copy[rng.randrange(len(copy))] = f"edit{i}"
+        rows += [" ".join(letter), " ".join(copy)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 120
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in simhash.similar_groups(df).collect()} == want
