@@ -112,45 +112,78 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Blocks of a wide fingerprint; every text is filed under each of them.
-WIDE_BLOCKS = 40
+#: Documents looked at to tell which shingles are common, at most about so many; this steers the order of shingles only.
+ORDERED_BY = 8192
+#: A shingle is common if so many of these documents have it.
+COMMON = 3
 #: Texts of a file that one task compares with those of the file's other groups.
 PART = 256
 #: Least shingle hashes of a text that are kept: all of most texts, an even sample of the whole of a longer one.
 SKETCH = 1024
 
 
-def _wide_keys(features: np.ndarray, bits: int) -> np.ndarray:
-    """The values of ``WIDE_BLOCKS`` blocks of ``bits`` bits of the SimHash of distinct features."""
-    lanes = -(-WIDE_BLOCKS * bits // 64)
-    totals = np.zeros(lanes * 64, dtype=np.int64)
-    seeds = W.mix(np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for i in range(0, len(features), 2048):
-        spread = W.mix(features[i : i + 2048, None] ^ seeds[None])
-        totals += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    found = totals[: WIDE_BLOCKS * bits].reshape(WIDE_BLOCKS, bits) * 2 > len(features)
-    return found @ (1 << np.arange(bits, dtype=np.int64))
+def _runs(words: W.Words, d: int, runs: np.ndarray, shingle: int) -> np.ndarray:
+    """Distinct shingle hashes of text ``d``, in order; those of its whole words if it is shorter than a shingle."""
+    a, z = int(words.first[d]), int(words.first[d + 1])
+    if z - a >= shingle:
+        return np.unique(runs[a : z - shingle + 1])
+    return np.array([xxhash.xxh64_intdigest(words.hash[a:z].tobytes())] if z > a else [], dtype=np.uint64)
 
 
-def _described(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """(doc_id, same, keys, grams): a hash of the words, the blocks, and the set of shingle hashes."""
+def _common(docs: DataFrame, shingle: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several documents of a bounded sample have, and how many have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = encoded(b.column(0), lower=True)
+            for i, j in W.chunks(texts, 1 << 20):
+                words = W.scan(texts[i:j])
+                runs = words.grams(shingle)
+                sets = [_runs(words, d, runs, shingle) for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["gram"])
+
+    step = max(1, -(-count // ORDERED_BY))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(step)) == 0).select(F.lower(F.col("text").cast("string")).alias("text")).distinct()
+    found = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def _prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of distinct shingles, rare ones first, of which any set as similar has one among its own first."""
+    known, n = common
+    if len(known) and len(grams):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        grams = grams[np.lexsort((grams, np.where(known[at] == grams, n[at], 0)))]
+    return grams[: int(len(grams) * (1 - similarity) + 1e-6) + 1]
+
+
+def _described(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, same, size, keys, grams): a hash of the words, the number of shingles, the prefix, and the set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = encoded(b.column(1), lower=True)
             for i, j in W.chunks(texts, 1 << 20):
                 words = W.scan(texts[i:j])
-                runs, two, same, keys, sets = words.grams(shingle), words.grams(2), [], [], []
+                runs, same, size, keys, sets = words.grams(shingle), [], [], [], []
                 for d in range(j - i):
-                    a, z = int(words.first[d]), int(words.first[d + 1])
-                    own = words.hash[a:z]
-                    same.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    keys.append(_wide_keys(np.unique(two[a : z - 1] if z - a > 1 else own), bits).astype(np.int32))
-                    grams = runs[a : z - shingle + 1] if z - a >= shingle else np.array([xxhash.xxh64_intdigest(own.tobytes())] if z > a else [], dtype=np.uint64)
+                    same.append(xxhash.xxh3_128_digest(words.hash[int(words.first[d]) : int(words.first[d + 1])].tobytes()))
+                    grams = _runs(words, d, runs, shingle)
+                    size.append(len(grams))
+                    keys.append(_prefix(grams, common, similarity).view(np.int64))
                     sets.append(np.unique((grams >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int32())), pa.array(sets, pa.binary())], names=["doc_id", "same", "keys", "grams"])
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array(sets, pa.binary())], names=["doc_id", "same", "size", "keys", "grams"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, size int, keys array<long>, grams binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, keys array<int>, grams binary")
+def _alike(similarity: float, one: str, two: str) -> Column:
+    """Whether sets of these sizes can be as similar, if the shingle at these places is the first that they share."""
+    need = (F.col(f"{one}size") + F.col(f"{two}size")) * (similarity / (1 + similarity)) - 1e-6
+    return (F.col(f"{one}pos") <= F.col(f"{one}size") - need) & (F.col(f"{two}pos") <= F.col(f"{two}size") - need)
 
 
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -161,23 +194,23 @@ def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
     return named.join(files.where("groups > 1").drop("groups"), "key")
 
 
-def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
+def _with_hubs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Pairs of each text outside its file's largest group (each text where ``big`` is null) with one text of that group.
 
     Another text in each turn and in each fourth of the files, so that one odd text parts no group.
     """
     order = F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4))).alias("order")
-    hubs = rows.where("label <=> big or big is null").groupBy("key").agg(F.min(F.struct(order, "node")).alias("hub"))
-    met = rows.where("label <> big or big is null").join(hubs, "key").where("node <> hub.node")
+    hubs = rows.where("label <=> big or big is null").groupBy("key").agg(F.min(F.struct(order, "node", "pos", "size")).alias("hub"))
+    met = rows.where("label <> big or big is null").join(hubs, "key").where("node <> hub.node").where(_alike(similarity, "", "hub."))
     return met.select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v")).distinct()
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs of texts in one file and different groups; the rows of a file are dealt into parts of about ``PART``."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    one = rows.where("label <> big").select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    two = rows.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"), "big", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    met = one.join(two, ["key", "part"]).where("a_label <> b_label and (b_label = big or a > b)")
+    one = rows.where("label <> big").select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("pos").alias("a_pos"), F.col("size").alias("a_size"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    two = rows.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"), "big", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    met = one.join(two, ["key", "part"]).where("a_label <> b_label and (b_label = big or a > b)").where(_alike(similarity, "a_", "b_"))
     return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
@@ -211,11 +244,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word
     shingles (A-Z lower-cased) is ``similarity`` or more.  Texts with equal words are joined
-    first.  The others are filed under 40 blocks of a wide SimHash over their distinct word
-    pairs, whose bits differ less than long shingles do: of substituted words that leave 0.8 of
-    the shingles, 98 of 100 texts keep a block whole.  Blocks are as long as the number of texts
-    needs to keep files small.  Pairs from a file are verified on their shingle sets, exactly up
-    to ``SKETCH`` shingles and within 0.0125 (one standard deviation) beyond.
+    first.  The others are filed under the first of their shingles, a fifth of them, in one order
+    for all texts, those rare in a sample first: two sets that are as similar always have one in
+    common there, at any number of texts and for any kind of edit.  Pairs from a file are verified
+    on their shingle sets, exactly up to ``SKETCH`` shingles and within 0.0125 (one standard
+    deviation) beyond.
     First each file's texts are compared with one of them, then those outside the file's largest
     group with one of that group; the last round compares all pairs of a file, whatever its size,
     that aren't in one group yet.
@@ -224,22 +257,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     """
     small_batches(docs.sparkSession)
     count = docs.count()
-    bits = min(30, max(16, int(np.ceil(np.log2(max(2, count)))) + 5))
-    described = saved(_described(docs, shingle, bits), "described")
+    described = saved(_described(docs, shingle, similarity, _common(docs, shingle, count)), "described")
     # rows that share a doc_id count once, by the least of their texts' hashes
     classes = described.groupBy("same").agg(F.min("doc_id").alias("node"))
     members = described.select("doc_id", "same").join(classes, "same").select("doc_id", "node").distinct()
-    # the keys are those of the node itself
+    # the shingles are those of the node itself
     own = described.join(members.where("doc_id = node").select("node"), described.doc_id == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    files = own.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("which", "key")).select("node", F.shiftleft(F.col("which").cast("long"), 32).bitwiseOR(F.col("key").cast("long")).alias("key"))
+    own = own.select(F.col("doc_id").alias("node"), "size", "keys")
+    files = own.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key"), "files")
-    once = described.dropDuplicates(["doc_id"])
+    # only texts that share a shingle are compared
+    once = saved(described.select("doc_id", "grams").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
     none = F.lit(None).cast("long")
-    links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0), once, similarity), "links")
+    links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0, similarity), once, similarity), "links")
     label = components(links)
     for turn in range(1, rounds):
         rows = _mixed(shared, label)
-        found = _verified(_with_hubs(rows, turn) if turn < rounds - 1 else _across(rows), once, similarity)
+        found = _verified(_with_hubs(rows, turn, similarity) if turn < rounds - 1 else _across(rows, similarity), once, similarity)
         links = saved(links.unionByName(found), "links")
         label = components(links)
     return members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group_id")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))

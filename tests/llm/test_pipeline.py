@@ -148,3 +148,21 @@ def test_pairs_in_a_crowded_family_are_found(spark):
     assert len(set(want.values())) == 120
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.group_id for r in simhash.similar_groups(df).collect()} == want
+
+
+def test_copies_with_a_block_more_or_less_are_found(spark):
+    """Texts at 0.8 or just over by one block cut off, put in or replaced, among many others."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        base = [f"v{rng.randrange(30000)}" for _ in range(300)]
+        block = [f"v{rng.randrange(30000)}" for _ in range(rng.randrange(40, 64))]
+        at, n = rng.randrange(200), len(block)
+        rows += [base, [base[n:], base[:at] + block + base[at:], base[:at] + block[: n // 2] + base[at + n // 2 :]][i % 3]]
+    rows = [(d, " ".join(t)) for d, t in enumerate(rows)]
+    want = {d: d - (d % 2 and jaccard(t, rows[d - 1][1]) >= 0.8) for d, t in rows}
+    assert sum(d != g for d, g in want.items()) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    others = spark.range(1000, 61000).selectExpr("id AS doc_id", "concat_ws(' ', 'a', id, 'b', id + 1, 'c', id + 2) AS text")
+    got = simhash.similar_groups(df.unionByName(others)).where("doc_id < 1000 or doc_id <> group_id").collect()
+    assert {r.doc_id: r.group_id for r in got} == want
