@@ -118,8 +118,10 @@ ORDERED_BY = 8192
 COMMON = 3
 #: Texts of a file that one task compares with those of the file's other groups.
 PART = 256
-#: Least shingle hashes of a text that are kept: all of most texts, an even sample of the whole of a longer one.
+#: Least shingle hashes of a text that pairs are looked at by first: all of most texts, an even sample of the whole of a longer one.
 SKETCH = 1024
+#: A pair is left out by its sample if that is so far under the limit, eight standard deviations; else the whole sets decide.
+MARGIN = 0.1
 
 
 def _runs(words: W.Words, d: int, runs: np.ndarray, shingle: int) -> np.ndarray:
@@ -160,24 +162,26 @@ def _prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
 
 
 def _described(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, same, size, keys, grams): a hash of the words, the number of shingles, the prefix, and the set of shingle hashes."""
+    """(doc_id, same, size, keys, grams, more): a hash of the words, the number of shingles, the prefix, the least of the set of shingle hashes and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = encoded(b.column(1), lower=True)
             for i, j in W.chunks(texts, 1 << 20):
                 words = W.scan(texts[i:j])
-                runs, same, size, keys, sets = words.grams(shingle), [], [], [], []
+                runs, same, size, keys, sets, more = words.grams(shingle), [], [], [], [], []
                 for d in range(j - i):
                     same.append(xxhash.xxh3_128_digest(words.hash[int(words.first[d]) : int(words.first[d + 1])].tobytes()))
                     grams = _runs(words, d, runs, shingle)
                     size.append(len(grams))
                     keys.append(_prefix(grams, common, similarity).view(np.int64))
-                    sets.append(np.unique((grams >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
+                    found = np.unique((grams >> np.uint64(32)).astype(np.uint32))
+                    sets.append(found[:SKETCH].tobytes())
+                    more.append(found[SKETCH:].tobytes())
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array(sets, pa.binary())], names=["doc_id", "same", "size", "keys", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array(sets, pa.binary()), pa.array(more, pa.binary())], names=["doc_id", "same", "size", "keys", "grams", "more"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, size int, keys array<long>, grams binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, size int, keys array<long>, grams binary, more binary")
 
 
 def _alike(similarity: float, one: str, two: str) -> Column:
@@ -215,7 +219,7 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
-    """Of two sets of least hashes; exact where neither was cut, else over the range that both cover."""
+    """Of two sets of least hashes; over the range that both cover."""
     for cut in (one, two):
         if len(cut) == SKETCH:
             one, two = one[: np.searchsorted(one, cut[-1], "right")], two[: np.searchsorted(two, cut[-1], "right")]
@@ -223,20 +227,30 @@ def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
     return both / max(1, len(one) + len(two) - both)
 
 
-def _verified(pairs: DataFrame, described: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the Jaccard similarity or more."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have the Jaccard similarity or more; ``sets`` has doc_id, grams and more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(pairs: DataFrame, sets: DataFrame, whole: Column) -> DataFrame:
+        side = lambda n, name: sets.select(F.col("doc_id").alias(n), whole.alias(name))
+        return pairs.join(side("u", "one"), "u").join(side("v", "two"), "v").select("u", "v", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            keep, sure = [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 one, two = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
-                keep.append(_jaccard(one, two) >= similarity)
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                sure.append(whole or max(len(one), len(two)) < SKETCH)
+                found = len(np.intersect1d(one, two, assume_unique=True)) if sure[-1] else 0
+                keep.append(found / max(1, len(one) + len(two) - found) >= similarity if sure[-1] else _jaccard(one, two) >= similarity - MARGIN)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
-    sets = described.select("doc_id", "grams")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("one")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("two")), "v")
-    return joined.select("u", "v", "one", "two").mapInArrow(run, "u long, v long")
+    schema = "u long, v long, sure boolean"
+    first = saved(joined(pairs, sets, F.col("grams")).mapInArrow(lambda batches: run(batches, False), schema), "likely")
+    # a set much smaller than a cut one is not as similar
+    long = sets.where(F.octet_length("grams") >= int(4 * SKETCH * similarity))
+    second = joined(first.where("not sure").select("u", "v"), long, F.concat("grams", "more")).mapInArrow(lambda batches: run(batches, True), schema)
+    return first.where("sure").unionByName(second).select("u", "v")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
@@ -247,8 +261,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     first.  The others are filed under the first of their shingles, a fifth of them, in one order
     for all texts, those rare in a sample first: two sets that are as similar always have one in
     common there, at any number of texts and for any kind of edit.  Pairs from a file are verified
-    on their shingle sets, exactly up to ``SKETCH`` shingles and within 0.0125 (one standard
-    deviation) beyond.
+    on their whole shingle sets; of texts over ``SKETCH`` shingles, a sample leaves out those that
+    are ``MARGIN`` or more under the limit.
     First each file's texts are compared with one of them, then those outside the file's largest
     group with one of that group; the last round compares all pairs of a file, whatever its size,
     that aren't in one group yet.
@@ -267,7 +281,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     files = own.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key"), "files")
     # only texts that share a shingle are compared
-    once = saved(described.select("doc_id", "grams").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    once = saved(described.select("doc_id", "grams", "more").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
     none = F.lit(None).cast("long")
     links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0, similarity), once, similarity), "links")
     label = components(links)

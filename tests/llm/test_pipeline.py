@@ -166,3 +166,17 @@ def test_copies_with_a_block_more_or_less_are_found(spark):
     others = spark.range(1000, 61000).selectExpr("id AS doc_id", "concat_ws(' ', 'a', id, 'b', id + 1, 'c', id + 2) AS text")
     got = simhash.similar_groups(df.unionByName(others)).where("doc_id < 1000 or doc_id <> group_id").collect()
     assert {r.doc_id: r.group_id for r in got} == want
+
+
+def test_long_texts_at_the_limit_are_told_apart(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        base = [f"v{rng.randrange(90000)}" for _ in range(3000)]
+        n = 635 + i  # shingles that one cut leaves out: 0.789 to 0.768; a cut of 600 leaves 0.8
+        rows += [base, base[(n if i % 2 else 565 + i) :]]
+    rows = [(d, " ".join(t)) for d, t in enumerate(rows)]
+    want = {d: d - (d % 2 and jaccard(t, rows[d - 1][1]) >= 0.8) for d, t in rows}
+    assert 10 < sum(d != g for d, g in want.items()) < 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in simhash.similar_groups(df).collect()} == want
