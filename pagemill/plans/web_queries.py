@@ -116,13 +116,13 @@ def uri_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions(spark, sf_dir).where("page_id <= 1000").withColumns({"t": F.col("t") % 300, "b": F.col("t") % 300 + (F.col("b") - F.col("t"))})
+    return regions(spark, sf_dir).withColumns({"t": F.col("t") % 300, "b": F.col("t") % 300 + (F.col("b") - F.col("t"))})
 
 
 @query(f"""WITH {REGIONS}, {URI_CELLS}, i AS (SELECT page_id, item_pos, l, t % 300 AS t, r, t % 300 + (b - t) AS b FROM regions WHERE page_id <= 1000), u AS (SELECT * FROM uri_cells WHERE uri <> '' AND r > l AND b > t)
 SELECT i.page_id, item_pos, cell_pos, text AS cell_text, uri FROM i JOIN u ON i.page_id = u.page_id WHERE greatest(0, least(i.r, u.r) - greatest(i.l, u.l)) * greatest(0, least(i.b, u.b) - greatest(i.t, u.t)) / ((u.r - u.l) * (u.b - u.t))::DOUBLE >= 0.3""")
 def item_uri_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.candidates(_items(spark, sf_dir), uri_cells(spark, sf_dir))
+    return K.candidates(_items(spark, sf_dir).where("page_id <= 1000"), uri_cells(spark, sf_dir))
 
 
 @query("""SELECT doc_id, w, CASE WHEN i > 0 THEN CAST(i - 1 AS INT) END AS s, CASE WHEN i > 0 THEN CAST(i - 1 + length(w) AS INT) END AS e FROM (SELECT doc_id, w, instr(lower(text), lower(w)) AS i FROM documents, (VALUES ('The and'), ('DER'), ('licensed'), ('zzz')) v(w))""")
