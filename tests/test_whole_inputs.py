@@ -1,5 +1,7 @@
 """Queries without SQL on small tables where a prefix or a subset would show."""
 
+import re
+
 import pytest
 
 from pagemill.plans.registry import QUERIES
@@ -25,3 +27,11 @@ def test_annotate_items_takes_all_pages(spark, tables):
     for r in QUERIES["annotate_items"](spark, tables).collect():
         by.setdefault(r.page_id, set()).add((r.item_pos, r.text))
     assert by[7] and set(by) == {7, 500, 1500, 4545} and len({frozenset(x) for x in by.values()}) == 1
+
+
+def test_annotate_page_text_takes_whole_texts(spark, tables):
+    rows = QUERIES["annotate_page_text"](spark, tables).collect()
+    assert len(rows) == 4
+    for r in rows:
+        plain = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", r.text)
+        assert plain.split() == [f"word{i}" for i in range(200)]
