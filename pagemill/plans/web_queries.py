@@ -164,7 +164,8 @@ def apply_span_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 3, 4)).alias("phrase"), F.col("item_id"))
-    pages = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    count = max(1, asked.count())
+    pages = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % count).alias("item_id"))
     found = pages.join(asked, "item_id").select("doc_id", "phrase", U.fuzzy_span("text", "phrase", F.lit(0.7)).alias("x"))
     return found.select("doc_id", "phrase", "x.s", "x.e")
 

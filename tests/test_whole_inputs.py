@@ -35,3 +35,11 @@ def test_annotate_page_text_takes_whole_texts(spark, tables):
     for r in rows:
         plain = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", r.text)
         assert plain.split() == [f"word{i}" for i in range(200)]
+
+
+def test_fuzzy_best_match_asks_all_items(spark, tables):
+    rows = {r.doc_id: r for r in QUERIES["fuzzy_best_match"](spark, tables).collect()}
+    text = " ".join(f"word{i}" for i in range(200))
+    s = text.index("word50 word51")
+    assert set(rows) == {7, 500, 1500, 4545}
+    assert (rows[4545].phrase, rows[4545].s, rows[4545].e) == ("word50 word51 word52 word53", s, s + len("word50 word51 word52 word53"))
