@@ -2,8 +2,8 @@
 
 Every rolling word k-gram hash of every document is joined to the templates' k-gram positions.
 A match votes for the diagonal document position minus template position; votes are summed by
-document, template and diagonal, neighbouring diagonals (an inserted or lost word) are merged
-into a span, and a span is verified by the share of the template's k-grams that it really has
+document, template and diagonal, each diagonal is a span, neighbouring diagonals without the whole
+template (an inserted or lost word) are also merged into one, and a span is verified by the share of the template's k-grams that it really has
 and by how densely it has them.  The templates are a constant of this module, a few KB.
 
 Edge cases: null and empty texts have no words, no labels ('') and the score 0; repeated rows
@@ -108,7 +108,7 @@ def grams(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def spans(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K) -> DataFrame:
-    """Verified spans: uid, template, label, first, last (words, last excluded), coverage."""
+    """Verified spans, of one diagonal or several: uid, template, label, first, last (words, last excluded), coverage."""
     rows, sizes = [], []
     for t, (label, text) in enumerate(templates):
         found = _scan([text.encode()]).grams(k)
@@ -121,9 +121,12 @@ def spans(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K) -> DataFram
     lines = votes.groupBy("uid", "template", "diagonal").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("votes"), F.collect_set("at").alias("ats"))
     order = Window.partitionBy("uid", "template").orderBy("diagonal")
     broken = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > MERGE).cast("int"), F.lit(0))
-    merged = lines.withColumn("_new", broken).withColumn("span", F.sum("_new").over(order)).groupBy("uid", "template", "span")
+    # a diagonal that has the whole template is a copy by itself; merged with those of other copies it would only look sparse
+    partial = lines.join(named.select("template", "size"), "template").where("votes < size").drop("size")
+    merged = partial.withColumn("_new", broken).withColumn("span", F.sum("_new").over(order)).groupBy("uid", "template", "span")
     merged = merged.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"))
-    out = merged.join(named, "template").withColumn("coverage", F.col("covered") / F.col("size"))
+    alone = lines.select("uid", "template", "first", "last", "votes", F.size("ats").alias("covered"))
+    out = merged.select(alone.columns).unionByName(alone).distinct().join(named, "template").withColumn("coverage", F.col("covered") / F.col("size"))
     return out.where((F.col("coverage") >= COVERAGE) & (F.col("votes") >= DENSITY * (F.col("last") - F.col("first") + 1))).select("uid", "template", "label", "first", (F.col("last") + k).alias("last"), "coverage")
 
 

@@ -55,3 +55,11 @@ def test_urls_match_sql(spark, tmp_path):
     assert set(got[got.host == "fine.example.org"].verdict) == {"allow"}
     assert urls.judge(pages.where("false"), urls.page_outcomes(labels.where("false"))).count() == 0
     assert set(urls.judge(pages, urls.page_outcomes(labels.where("false"))).where("rule is null").toPandas().verdict) == {"allow"}
+
+
+def test_repeated_short_templates_do_not_cancel(spark):
+    one = "All rights reserved."
+    texts = [f"{one} 2020 {one}", " ".join([one] * 3), " ".join([one] * 40), f"{one} a b c d e f {one}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    assert got == {d: ("all-rights-reserved", 1.0) for d in range(4)}
