@@ -2,7 +2,8 @@
 
 From each position of a test item the shortest n-gram is taken that is rare: one that chance
 would give ``max_expected`` times or fewer in the corpus, by the corpus frequencies of its
-words.  Rarity looks at words only, so a passage that very many documents copy stays a seed.
+words.  A shorter item
+without a rare one is its own seed.  Rarity looks at words only, so a passage that very many documents copy stays a seed.
 Documents that hold a seed are aligned around it with the item; the alignment's score over that
 of the whole item is the similarity, so edited and paraphrased copies count by what is left.
 
@@ -103,6 +104,7 @@ def _counts(docs: DataFrame, wanted: np.ndarray) -> tuple[dict[int, int], int]:
 def seeds_of(items: list[np.ndarray], counts: dict[int, int], total: int, shortest: int, longest: int, max_expected: float) -> Seeds:
     found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for k, hashes in enumerate(items):
+        seeded = False
         log_p = [np.log(max(1, counts.get(int(h), 0)) / max(1, total)) for h in hashes]
         for i in range(len(hashes)):
             for n in range(shortest, longest + 1):
@@ -110,7 +112,10 @@ def seeds_of(items: list[np.ndarray], counts: dict[int, int], total: int, shorte
                     break
                 if n == longest or np.log(max(1, total)) + sum(log_p[i : i + n]) <= np.log(max_expected):
                     found[n].append((k, i, n))
+                    seeded = True
                     break
+        if len(hashes) and not seeded:  # short and of common words: only all of it
+            found[len(hashes)].append((k, 0, len(hashes)))
     by_n = {}
     for n, rows in found.items():
         item, place = (np.array(x, dtype=np.int64) for x in list(zip(*rows, strict=True))[:2])

@@ -83,3 +83,15 @@ def test_long_runs_of_hits(spark, n, monkeypatch):
     text = " ".join([item.split()[i % 6] if i % 7 else "x" for i in range(n)]) + " " + item
     got = D.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [r.similarity for r in got] == [1.0]
+
+
+def test_short_items_of_common_words_are_found(spark):
+    rng = random.Random(2)
+    words = ["the", "of", "and", "to", "in", "is"]
+    item = "of the and in to is"
+    docs = [(i, " ".join(rng.choice(words[:3]) for _ in range(4000))) for i in range(40)] + [(i, " ".join(words[3:] * 1000)) for i in range(40, 80)]
+    docs += [(100, "zebra " * 30 + item + " zebra" * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [r for r in D.matches(df, tests).collect() if r.similarity == 1.0]
+    assert [(r.doc_id, r.item_id, r.doc_begin, r.doc_end) for r in rows] == [(100, 1, 30, 36)]
