@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.store import give_back
 from pagemill.llm.words import mix
 
 BLOCK_BYTES = 4 << 20
@@ -42,8 +43,12 @@ def planes(values: np.ndarray) -> bytes:
 def from_planes(packed: list[bytes], dtype: type) -> np.ndarray:
     """The arrays of all ``packed``, joined."""
     width = np.dtype(dtype).itemsize
-    parts = [np.frombuffer(p, dtype=np.uint8).reshape(width, -1).T for p in packed]
-    return np.ascontiguousarray(np.concatenate(parts)).view(dtype).ravel() if parts else np.zeros(0, dtype=dtype)
+    out, at = np.empty((sum(len(p) for p in packed) // width, width), dtype=np.uint8), 0
+    for p in packed:
+        part = np.frombuffer(p, dtype=np.uint8).reshape(width, -1)
+        out[at : at + part.shape[1]] = part.T
+        at += part.shape[1]
+    return out.view(dtype).ravel()
 
 
 def questions(block: int, keys: np.ndarray, columns: dict[str, np.ndarray], n_shards: int) -> pa.Table:
@@ -56,6 +61,7 @@ def questions(block: int, keys: np.ndarray, columns: dict[str, np.ndarray], n_sh
     out = {"shard": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32())}
     for name, values in packed.items():
         out[name] = pa.array([planes(values[cut[s] : cut[s + 1]]) for s in full], pa.binary())
+    give_back()
     return pa.table(out)
 
 
@@ -68,11 +74,15 @@ def unpacked(table: pa.Table, types: dict[str, type]) -> tuple[list[int], np.nda
 
     Rows come in order of the block, so equal inputs give equal outputs.
     """
-    table = table.sort_by("block")
-    blocks = table.column("block").to_pylist()
-    keys = table.column("key").to_pylist()
-    cut = np.concatenate(([0], np.cumsum([len(k) // 8 for k in keys]))).astype(np.int64)
-    return blocks, cut, {n: from_planes(table.column(n).to_pylist(), t) for n, t in types.items()}
+    order = np.argsort(table.column("block").to_numpy(), kind="stable")
+    blocks = table.column("block").to_numpy()[order].tolist()
+    out = {}
+    for name, kind in types.items():  # one column at a time, and no copy of the table in order
+        rows = table.column(name)
+        out[name] = from_planes([rows[int(k)].as_buffer() for k in order], kind)
+        if name == "key":
+            cut = np.concatenate(([0], np.cumsum([len(rows[int(k)].as_buffer()) // 8 for k in order]))).astype(np.int64)
+    return blocks, cut, out
 
 
 def answers(shard: int, blocks: list[int], cut: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -96,6 +106,7 @@ def answered(table: pa.Table, keys: np.ndarray, n_shards: int, dtype: type) -> n
         raise ValueError(f"{len(keys)} keys asked, {len(joined)} answered")
     out = np.empty(len(keys), dtype=dtype)
     out[order] = joined
+    give_back()
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.store import saved
+from pagemill.llm.store import saved, scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,6 +19,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     folder; the number of edges never exceeds nodes plus first edges, and no node's
     neighbours are gathered in one row.
     """
+    with scratch(edges.sparkSession):
+        return saved(_settled(edges, max_rounds), "components", keep=True)
+
+
+def _settled(edges: DataFrame, max_rounds: int) -> DataFrame:
     now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     for _ in range(max_rounds):

@@ -7,7 +7,8 @@ word's share under exp(-loss); texts whose two best words are close are flagged
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with one learned
 language all others are that language with score 1, with none everything is ``und``; repeated
-rows each get their own result; rows with a null id teach nothing.
+rows each get their own result; rows with a null id teach nothing, nor does a doc_id with languages that differ;
+a text's features don't depend on the rows around it; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import logit
 from pagemill.llm import words as W
-from pagemill.llm.store import crc_rest, small_batches
+from pagemill.llm.store import crc_rest, give_back, small_batches
 
 #: Documents of each language that the classifiers are fitted on, at most.
 PER_LANGUAGE = 1000
@@ -98,7 +99,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, found = W.encoded(b.column(1)), []
-            for i, j in W.chunks(texts, 1 << 20):
+            for i, j in logit.parts(texts):
                 part = texts[i:j]
                 lettered = np.array([bool(_LATIN.search(t)) or any(map(str.isalpha, t.decode())) for t in part])
                 if not model.languages:
@@ -109,6 +110,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 found += [(model.languages[k], float(s[k]), bool(s[k] < CLEAR)) if ok else (UNKNOWN, 0.0, True) for k, s, ok in zip(best, share, lettered, strict=True)]
             cols = list(zip(*found, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
-from pagemill.llm.store import label_sample
+from pagemill.llm.store import give_back, label_sample
 
 #: Buckets of each family of n-grams.
 BUCKETS = 4096
+#: Texts whose features are made at once.
+AT_ONCE = 128
+#: Sampled documents whose features the driver holds, at most, over all labels.
+MOST_ROWS = 4000
 _SHIFT = np.uint64(64 - 12)
 
 #: Features of many texts: a row for each text.
@@ -24,20 +28,28 @@ def _counts(doc: np.ndarray, bucket: np.ndarray, docs: int) -> np.ndarray:
     return np.bincount(doc.astype(np.int64) * BUCKETS + bucket.astype(np.int64), minlength=docs * BUCKETS).reshape(docs, BUCKETS)
 
 
-def char_counts(texts: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
-    """Counts of byte n-grams by bucket; a text is taken between two spaces."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
-    doc = np.repeat(np.arange(len(texts)), lengths)
+def char_counts(texts: list[bytes], sizes: tuple[int, ...], points: bool = False) -> np.ndarray:
+    """Counts of n-grams of bytes (or code ``points``) by bucket; each text is taken between two spaces, by itself."""
+    joined = b" " + b" ".join(texts) + b" "
+    if points:
+        data = np.frombuffer(joined.decode().encode("utf-32-le"), dtype=np.uint32)
+        lengths = np.fromiter((len(t.decode()) for t in texts), dtype=np.int64, count=len(texts)) + 1
+    else:
+        data = np.frombuffer(joined, dtype=np.uint8)
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    # where the space after each text stands: no n-gram of the text goes beyond
+    last = np.cumsum(lengths).astype(np.int32)[doc] if len(texts) else np.zeros(0, dtype=np.int32)
     out = np.zeros((len(texts), BUCKETS), dtype=np.int64)
     for n in sizes:
-        size = max(0, len(data) - n + 1)
-        gram = np.zeros(size, dtype=np.uint32)
+        size = min(len(doc), max(0, len(data) - n + 1))
+        own = np.arange(n - 1, n - 1 + size, dtype=np.int32) <= last[:size]
+        gram = np.full(size, n, dtype=np.uint32)
         for j in range(n):
-            gram = gram * np.uint32(257) + data[j : j + size]
-        gram = (gram + np.uint32(n)) * np.uint32(0x9E3779B1)
+            gram = gram * np.uint32(0x01000193) + data[j : j + size]
+        gram = (gram ^ (gram >> np.uint32(16))) * np.uint32(0x9E3779B1)
         gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        out += _counts(doc[: len(gram)], (gram >> np.uint32(20))[: len(doc)], len(texts))
+        out += _counts(doc[:size][own], (gram >> np.uint32(20))[own], len(texts))
     return out
 
 
@@ -53,27 +65,37 @@ def word_counts(words: W.Words, docs: int, sizes: tuple[int, ...]) -> np.ndarray
 def shares(counts: np.ndarray) -> np.ndarray:
     """Square roots of each bucket's share of a row, so that a text's length doesn't count."""
     total = np.maximum(1, counts.sum(axis=1, keepdims=True))
-    return np.sqrt(counts / total).astype(np.float32)
+    return np.sqrt((counts / total).astype(np.float32))
+
+
+def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts whose features are made at once: few rows, since each takes all buckets."""
+    for i, j in W.chunks(texts, 1 << 20):
+        for a in range(i, j, AT_ONCE):
+            yield a, min(j, a + AT_ONCE)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, featurize: Featurizer, per_class: int) -> tuple[list, np.ndarray]:
-    """Labels and features of at most ``per_class`` documents of each label, in order of doc_id.
+    """Labels and features of at most ``per_class`` documents of each label, ``MOST_ROWS`` of all, in order of doc_id.
 
-    ``labels`` has doc_id and the label; the sample is bounded, its ids are sent to all tasks
-    and only features come back to the driver.
+    ``labels`` has doc_id and the label; a doc_id with several labels teaches nothing.  The
+    sample is bounded, its ids are sent to all tasks and only features come back to the driver.
     """
-    keys = label_sample(labels, label, per_class).withColumnRenamed(label, "_label").dropDuplicates(["doc_id"])
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id").select("doc_id", F.col("_label").cast("string"), "text")
+    keys = label_sample(labels, label, per_class, MOST_ROWS).withColumnRenamed(label, "_label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id").select("doc_id", F.col("_label").cast("string"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = W.encoded(b.column(2))
-            for i, j in W.chunks(texts, 1 << 20):
+            for i, j in parts(texts):
                 x = featurize(texts[i:j])
                 full = [np.flatnonzero(r).astype(np.int32) for r in x]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), b.column(1).slice(i, j - i).cast(pa.string()), pa.array([f.tobytes() for f in full], pa.binary()), pa.array([r[f].tobytes() for r, f in zip(x, full, strict=True)], pa.binary())], names=["doc_id", "label", "at", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i).cast(pa.string()), pa.array([f.tobytes() for f in full], pa.binary()), pa.array([r[f].tobytes() for r, f in zip(x, full, strict=True)], pa.binary())], names=["doc_id", "label", "at", "x"])
+            give_back()
 
-    found = sorted((r.doc_id, r.label, r.at, r.x) for r in rows.mapInArrow(run, "doc_id long, label string, at binary, x binary").collect())
+    # documents that repeat a doc_id count once, by the least of their features
+    found = rows.mapInArrow(run, "doc_id long, label string, at binary, x binary").groupBy("doc_id", "label").agg(F.min(F.struct("at", "x")).alias("f")).select("doc_id", "label", "f.*").collect()
+    found = sorted((r.doc_id, r.label, r.at, r.x) for r in found)
     width = featurize([b""]).shape[1]
     out = np.zeros((len(found), width), dtype=np.float32)
     names = [f[1] for f in found]

@@ -1,12 +1,12 @@
 """Document quality: plain counts with fixed limits, then a calibrated n-gram classifier.
 
-The classifier is a logistic regression over hashed word and byte n-grams, fitted on at most
+The classifier is a logistic regression over hashed word and character n-grams, fitted on at most
 ``PER_CLASS`` labelled documents of either quality and calibrated on a part it didn't see, with
 the shares of the qualities among all labels as prior.  Documents are scored in Arrow batches.
 
 Edge cases: null and empty texts have no word and fail; without labels of both kinds nothing
 is rejected by the classifier; repeated rows each get their own result; rows with a null id are
-judged, but teach nothing.
+judged, but teach nothing, nor does a doc_id with labels that differ; equal labels count once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import logit
 from pagemill.llm import words as W
 from pagemill.llm.exchange import groups
-from pagemill.llm.store import small_batches
+from pagemill.llm.store import give_back, small_batches
 
 #: Labelled documents of either quality that the classifier is fitted on, at most.
 PER_CLASS = 1200
@@ -36,8 +36,8 @@ _SYMBOLS = W.separators(b"#*$%&|<>")
 
 
 def featurize(texts: list[bytes]) -> np.ndarray:
-    """Word 1- and 2-grams as written, and byte 3-grams."""
-    return np.concatenate([logit.shares(logit.word_counts(W.scan(texts), len(texts), (1, 2))), logit.shares(logit.char_counts(texts, (3,)))], axis=1)
+    """Word 1- and 2-grams as written, and 3-grams of code points; a text's features don't depend on its neighbours."""
+    return np.concatenate([logit.shares(logit.word_counts(W.scan(texts), len(texts), (1, 2))), logit.shares(logit.char_counts(texts, (3,), points=True))], axis=1)
 
 
 @dataclass
@@ -110,7 +110,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = W.encoded(b.column(0))
-            for i, j in W.chunks(texts, 1 << 20):
+            for i, j in logit.parts(texts):
                 part = texts[i:j]
                 m = measures(part)
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
@@ -118,6 +118,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
                 cols = [pa.array(v.astype(np.int64)) for v in m.values()]
                 cols += [pa.array(failed), pa.array(p.astype(np.float64)), pa.array(~failed & (p >= MIN_PROBABILITY))]
                 yield pa.RecordBatch.from_arrays([*cols, *(b.column(k + 1).slice(i, j - i) for k in range(len(own)))], names=[*m, "base_failed", "probability", "kept", *own])
+            give_back()
 
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean" + fields
     return docs.select(F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in own)).mapInArrow(run, schema)
@@ -140,10 +141,11 @@ def good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Data
         for b in batches:
             texts = W.encoded(b.column(names.index("text")))
             keep_rows = np.zeros(len(texts), dtype=bool)
-            for i, j in W.chunks(texts, 1 << 20):
+            for i, j in logit.parts(texts):
                 m = measures(texts[i:j])
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
                 keep_rows[i:j] = ~failed & ((model.probability(featurize(texts[i:j])) >= MIN_PROBABILITY) if model else True)
             yield b.filter(pa.array(keep_rows))
+            give_back()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
 from pagemill.llm.graph import components
-from pagemill.llm.store import saved, small_batches
+from pagemill.llm.store import bucketed, forget, give_back, saved, scratch, small_batches, text_bytes
 from pagemill.llm.words import encoded
 
 #: 64 bits in four parts; two differing bits leave two parts whole, so six pairs of parts suffice.
@@ -122,6 +122,8 @@ PART = 256
 SKETCH = 1024
 #: A pair is left out by its sample if that is so far under the limit, eight standard deviations; else the whole sets decide.
 MARGIN = 0.1
+#: Text bytes of one bucket of described documents, and the most buckets that Spark takes.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
 
 
 def _runs(words: W.Words, d: int, runs: np.ndarray, shingle: int) -> np.ndarray:
@@ -180,6 +182,7 @@ def _described(docs: DataFrame, shingle: int, similarity: float, common: tuple[n
                     more.append(found[SKETCH:].tobytes())
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array(sets, pa.binary()), pa.array(more, pa.binary())], names=["doc_id", "same", "size", "keys", "grams", "more"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, size int, keys array<long>, grams binary, more binary")
 
@@ -269,28 +272,30 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     Null ids are in no group; rows that share a doc_id are one document.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     count = docs.count()
-    described = saved(_described(docs, shingle, similarity, _common(docs, shingle, count)), "described")
-    # rows that share a doc_id count once, by the least of their texts' hashes
-    classes = described.groupBy("same").agg(F.min("doc_id").alias("node"))
-    members = described.select("doc_id", "same").join(classes, "same").select("doc_id", "node").distinct()
-    # the shingles are those of the node itself
-    own = described.join(members.where("doc_id = node").select("node"), described.doc_id == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    own = own.select(F.col("doc_id").alias("node"), "size", "keys")
-    files = own.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key"), "files")
-    # only texts that share a shingle are compared
-    once = saved(described.select("doc_id", "grams", "more").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-    none = F.lit(None).cast("long")
-    links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0, similarity), once, similarity), "links")
-    label = components(links)
-    for turn in range(1, rounds):
-        rows = _mixed(shared, label)
-        found = _verified(_with_hubs(rows, turn, similarity) if turn < rounds - 1 else _across(rows, similarity), once, similarity)
-        links = saved(links.unionByName(found), "links")
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // BUCKET_BYTES)))
+    with scratch(spark):
+        # rows that share a doc_id are one, that of the least of their words' hashes
+        rows = _described(docs, shingle, similarity, _common(docs, shingle, count)).repartition(buckets, "doc_id")
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("same", "size", "keys", "grams", "more")).alias("row")).select("doc_id", "row.*")
+        described = bucketed(rows, "doc_id", buckets, "described")
+        classes = described.groupBy("same").agg(F.min("doc_id").alias("node"))
+        members = saved(described.select("doc_id", "same").join(classes, "same").select("doc_id", "node"), "members")
+        own = described.join(members.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", "keys")
+        files = own.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+        shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key"), "files")
+        forget(spark)
+        none = F.lit(None).cast("long")
+        links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0, similarity), described, similarity), "links")
         label = components(links)
-    return members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group_id")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+        for turn in range(1, rounds):
+            rows = _mixed(shared, label)
+            found = _verified(_with_hubs(rows, turn, similarity) if turn < rounds - 1 else _across(rows, similarity), described, similarity)
+            links = saved(links.unionByName(found), "links")
+            label = components(links)
+        return saved(members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group_id")), "groups", keep=True)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
