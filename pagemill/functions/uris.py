@@ -96,7 +96,9 @@ def best_span(text: str, phrase: str, threshold: float) -> tuple[int, int] | Non
     """Exact place, letter case aside, or else the first window with the best similarity above the threshold.
 
     A window is as long as the phrase; its similarity is the share of a longest common
-    subsequence.  A window's share of common letters bounds that, so most need no closer look.
+    subsequence.  A window's share of common letters bounds that, so most need no closer look, and
+    from one window to the next the subsequence grows by one at most, so after a poor one some are
+    passed over.
     """
     low, wanted = text.lower(), phrase.lower()
     at = low.find(wanted)
@@ -109,7 +111,7 @@ def best_span(text: str, phrase: str, threshold: float) -> tuple[int, int] | Non
     for k, c in enumerate(wanted):
         masks[c] = masks.get(c, 0) | 1 << k
     left = {c: m.bit_count() for c, m in masks.items()}
-    bound, best, place = 0, threshold * n, None
+    bound, best, place, after = 0, threshold * n, None, 0
     for k, c in enumerate(low):
         if c in left:
             left[c] -= 1
@@ -118,10 +120,11 @@ def best_span(text: str, phrase: str, threshold: float) -> tuple[int, int] | Non
             left[low[k - n]] += 1
             bound -= left[low[k - n]] > 0
         i = k - n + 1
-        if i >= 0 and i + n <= len(text) and bound > best:
+        if i >= after and i + n <= len(text) and bound > best:
             same = common_subsequence(low[i : i + n], masks, n)
             if same > best:
                 best, place = same, (i, i + n)
+            after = i + int(best - same) + 1
     return place
 
 

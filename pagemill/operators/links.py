@@ -27,7 +27,7 @@ def phrases(cells: DataFrame) -> DataFrame:
 
 def _longest_first(text: Column, uri: Column, pos: Column) -> Column:
     rows = F.array_sort(F.collect_list(F.struct((-F.length(text)).alias("n"), pos.alias("pos"), text.alias("phrase"), uri.alias("uri"))))
-    return F.transform(rows, lambda r: F.struct(r["phrase"].alias("phrase"), r["uri"].alias("uri")))
+    return F.transform(rows, lambda r: F.struct(stripped(r["phrase"]).alias("phrase"), r["uri"].alias("uri")))
 
 
 def _splice(threshold: float, escape: bool):
@@ -40,13 +40,18 @@ def _splice(threshold: float, escape: bool):
 
 
 def annotated_items(items: DataFrame, cells: DataFrame, share: float = 0.3, threshold: float = 0.7) -> DataFrame:
-    """Items with links at the places of the cells that lie in them; uris are escaped."""
-    found = candidates(items, cells, share).groupBy("page_id", "item_pos").agg(_longest_first(F.col("cell_text"), F.col("uri"), F.col("cell_pos")).alias("_phrases"))
+    """Items with links at the places of the cells that lie in them, found by their stripped texts; blank cells don't count, uris are escaped."""
+    met = candidates(items, cells, share).where(stripped(F.col("cell_text")) != "")
+    found = met.groupBy("page_id", "item_pos").agg(_longest_first(F.col("cell_text"), F.col("uri"), F.col("cell_pos")).alias("_phrases"))
     joined = items.join(found, ["page_id", "item_pos"], "left")
     return joined.withColumn("text", _splice(threshold, True)("text", "_phrases")).drop("_phrases")
 
 
 def annotated_pages(pages: DataFrame, cells: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Pages (page_id, text) with links at the places of the phrases; uris as they are."""
-    found = phrases(cells).groupBy("page_id").agg(_longest_first(F.col("phrase"), F.col("uri"), F.col("uri")).alias("_phrases"))
+    """Pages (page_id, text) with links at the places of the phrases; uris as they are.
+
+    Of phrases with equal length the one whose uri the cells have first goes first.
+    """
+    first = cells.where("uri is not null and uri <> ''").groupBy("page_id", "uri").agg(F.min("cell_pos").alias("_first"))
+    found = phrases(cells).join(first, ["page_id", "uri"]).groupBy("page_id").agg(_longest_first(F.col("phrase"), F.col("uri"), F.col("_first")).alias("_phrases"))
     return pages.join(found, "page_id", "left").withColumn("text", _splice(threshold, False)("text", "_phrases")).drop("_phrases")

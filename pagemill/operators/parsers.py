@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,8 +59,17 @@ def json_part(c: Column) -> Column:
 
 
 def strict_json(c: Column) -> Column:
-    """VARIANT of a JSON text; null also if something follows it, which the plain parser overlooks."""
-    return F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"whole":'), c, F.lit(',"end":0}'))), "$.whole", "variant")
+    """VARIANT of a JSON text; null also if something follows it, which the plain parser overlooks.
+
+    The text must be one value of a list and of an object: what would break out of the one is an error in the other.
+    """
+    among = lambda before, after: F.try_parse_json(F.concat(F.lit(before), c, F.lit(after)))
+    return F.when(among('{"whole":', ',"end":0}').isNotNull(), F.try_variant_get(among('{"whole":[', '],"end":0}'), "$.whole[0]", "variant"))
+
+
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
 
 
 def lenient_json(c: Column) -> Column:
@@ -78,7 +88,7 @@ def _box_values(entry: Column, *names: str) -> Column:
     for n in names:
         for path in (f"$.{n}", f"$.{n}[0]"):
             values = F.try_variant_get(entry, path, "array<double>")
-            options.append(F.when((F.size(values) == 4) & ~F.exists(values, lambda x: x.isNull()), values))
+            options.append(_bound(values, lambda v: F.when((F.size(v) == 4) & ~F.exists(v, lambda x: x.isNull()), v)))
     return F.coalesce(*options)
 
 
@@ -86,9 +96,8 @@ def layout_json(c: Column, w: Column, h: Column) -> Column:
     """Entries with category, text and a box ``[ymin, xmin, ymax, xmax]`` of 0-1000; boxes that are none are skipped."""
 
     def one(e: Column) -> Column:
-        v = _box_values(e, "box", "bbox")
-        box = G.from_grid(v[0], v[1], v[2], v[3], w, h)
-        return F.when(v.isNotNull(), item(F.coalesce(F.try_variant_get(e, "$.category", "string"), F.lit("other")), F.coalesce(F.try_variant_get(e, "$.text", "string"), F.lit("")), box))
+        category, text = F.coalesce(F.try_variant_get(e, "$.category", "string"), F.lit("other")), F.coalesce(F.try_variant_get(e, "$.text", "string"), F.lit(""))
+        return _bound(_box_values(e, "box", "bbox"), lambda v: F.when(v.isNotNull(), item(category, text, G.from_grid(v[0], v[1], v[2], v[3], w, h))))
 
     found = F.transform(_list(lenient_json(json_part(c))), one)
     return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast(_EMPTY))
@@ -98,8 +107,8 @@ def cells_json(c: Column, sx: Column, sy: Column) -> Column:
     """Entries bbox (pixels of the resized image), category, text; null unless the whole response is JSON."""
 
     def one(e: Column) -> Column:
-        v = _box_values(e, "bbox")
-        return item(F.try_variant_get(e, "$.category", "string"), F.coalesce(F.try_variant_get(e, "$.text", "string"), F.lit("")), G.unresized(G.Box(v[0], v[1], v[2], v[3]), sx, sy))
+        category, text = F.try_variant_get(e, "$.category", "string"), F.coalesce(F.try_variant_get(e, "$.text", "string"), F.lit(""))
+        return _bound(_box_values(e, "bbox"), lambda v: item(category, text, G.unresized(G.Box(v[0], v[1], v[2], v[3]), sx, sy)))
 
     return F.transform(_list(strict_json(c)), one)
 
@@ -108,8 +117,8 @@ def unit_cells(c: Column, w: Column, h: Column) -> Column:
     """Entries bbox (shares of the page), type, content; a null content is an empty text."""
 
     def one(e: Column) -> Column:
-        v = _box_values(e, "bbox")
-        return item(F.try_variant_get(e, "$.type", "string"), F.coalesce(F.try_variant_get(e, "$.content", "string"), F.lit("")), G.unnormalized(G.Box(v[0], v[1], v[2], v[3]), w, h))
+        category, text = F.try_variant_get(e, "$.type", "string"), F.coalesce(F.try_variant_get(e, "$.content", "string"), F.lit(""))
+        return _bound(_box_values(e, "bbox"), lambda v: item(category, text, G.unnormalized(G.Box(v[0], v[1], v[2], v[3]), w, h)))
 
     return F.transform(_list(strict_json(c)), one)
 
@@ -118,12 +127,15 @@ def block_results(c: Column, path: str, box: str, content: str, label: str, scal
     """Entries of a list somewhere in an object; those without a box of four numbers are skipped."""
 
     def one(e: Column) -> Column:
-        v = _box_values(e, box)
-        x = G.Box(v[0], v[1], v[2], v[3])
-        if scale_w is not None:
-            x = G.Box(x.l * scale_w / 1000, x.t * scale_h / 1000, x.r * scale_w / 1000, x.b * scale_h / 1000)
         text = lambda n: F.coalesce(F.try_variant_get(e, f"$.{n}", "string"), F.lit(""))
-        return F.when(v.isNotNull(), item(text(label), text(content), x))
+
+        def placed(v: Column) -> Column:
+            x = G.Box(v[0], v[1], v[2], v[3])
+            if scale_w is not None:
+                x = G.Box(x.l * scale_w / 1000, x.t * scale_h / 1000, x.r * scale_w / 1000, x.b * scale_h / 1000)
+            return F.when(v.isNotNull(), item(text(label), text(content), x))
+
+        return _bound(_box_values(e, box), placed)
 
     return F.filter(F.transform(_list(strict_json(c), path), one), lambda x: x.isNotNull())
 

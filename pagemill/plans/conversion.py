@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
@@ -33,6 +33,11 @@ class Endpoint:
         return Endpoint(*(pick(n) for n in ("base_url", "model_name", "timeout", "max_retries", "api_key")))
 
 
+def first_endpoint(*urls: Column) -> Column:
+    """What ``Endpoint.over`` gives for a column of urls: the first that there is."""
+    return F.coalesce(*urls)
+
+
 @dataclass(frozen=True)
 class Conversion:
     """Settings of a run; ``before`` and ``after`` are applied in order."""

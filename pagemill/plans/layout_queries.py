@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import categories as C
@@ -14,10 +14,10 @@ from pagemill.plans.registry import query
 
 def _page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions on document pages of 900 x 400, where the word cells are."""
-    return regions(spark, sf_dir).where("page_id <= 1000").withColumns({"t": F.col("t") % 300, "b": F.col("t") % 300 + (F.col("b") - F.col("t"))})
+    return regions(spark, sf_dir).withColumns({"t": F.col("t") % 300, "b": F.col("t") % 300 + (F.col("b") - F.col("t"))})
 
 
-_PAGE = "page_regions AS (SELECT page_id, item_pos, category, l, t % 300 AS t, r, t % 300 + (b - t) AS b FROM regions WHERE page_id <= 1000)"
+_PAGE = "page_regions AS (SELECT page_id, item_pos, category, l, t % 300 AS t, r, t % 300 + (b - t) AS b FROM regions)"
 _LINES = """SELECT {key}, string_agg(line, chr(10) ORDER BY n) AS text FROM (
   SELECT {key}, n, string_agg(replace({shown}, chr(10), ' '), ' ' ORDER BY l, t, cell_pos) AS line FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY t, l, cell_pos ROWS UNBOUNDED PRECEDING) AS n FROM (
@@ -105,11 +105,12 @@ def assemble_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lines(uri_cells(spark, sf_dir))
 
 
-@query(f"""WITH {CELLS}, f AS (SELECT page_id, cell_pos, l, 500 - b AS t, r, 500 - t AS b, text FROM cells WHERE b <= 500) SELECT page_id, cell_pos, l, 500 - b AS t, r, 500 - t AS b, text FROM f WHERE l < r AND 500 - b < 500 - t AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''""")
+@query(f"""WITH {CELLS}, h AS (SELECT *, max(b) OVER (PARTITION BY page_id) AS h FROM cells), f AS (SELECT page_id, cell_pos, h, l, h - b AS t, r, h - t AS b, text FROM h) SELECT page_id, cell_pos, l, h - b AS t, r, h - t AS b, text FROM f WHERE l < r AND h - b < h - t AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''""")
 def cells_flip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = G.flipped(G.box(), F.lit(500))
-    wire = cells(spark, sf_dir).where("b <= 500").select("page_id", "cell_pos", low.l.alias("l"), low.b.alias("t"), low.r.alias("r"), low.t.alias("b"), "text")
-    up = G.Box(F.col("l"), 500 - F.col("b"), F.col("r"), 500 - F.col("t"))
+    height = F.col("h")  # of the page: the lowest edge of its cells
+    low = G.flipped(G.box(), height)
+    wire = cells(spark, sf_dir).withColumn("h", F.max("b").over(Window.partitionBy("page_id"))).select("page_id", "cell_pos", "h", low.l.alias("l"), low.b.alias("t"), low.r.alias("r"), low.t.alias("b"), "text")
+    up = G.Box(F.col("l"), height - F.col("b"), F.col("r"), height - F.col("t"))
     return wire.where(G.valid(up) & (F.regexp_replace("text", r"^\s+|\s+$", "") != "")).select("page_id", "cell_pos", *up.named(), "text")
 
 
@@ -135,7 +136,7 @@ def nested_region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.without_nested(regions(spark, sf_dir), 0.3).select("page_id", "item_pos")
 
 
-@query(f"WITH {URI_CELLS} SELECT page_id, cell_pos, text, round(l * (175 / 72.0::DOUBLE), 1) AS l, round(t * (175 / 72.0::DOUBLE), 1) AS t, uri FROM uri_cells WHERE cell_pos < 50")
+@query(f"WITH {URI_CELLS} SELECT page_id, cell_pos, text, round(l * (175 / 72.0::DOUBLE), 1) AS l, round(t * (175 / 72.0::DOUBLE), 1) AS t, uri FROM uri_cells")
 def view_text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = G.scaled(G.box(), 175 / 72)
-    return uri_cells(spark, sf_dir).where("cell_pos < 50").select("page_id", "cell_pos", "text", F.round(x.l, 1).alias("l"), F.round(x.t, 1).alias("t"), "uri")
+    return uri_cells(spark, sf_dir).select("page_id", "cell_pos", "text", F.round(x.l, 1).alias("l"), F.round(x.t, 1).alias("t"), "uri")

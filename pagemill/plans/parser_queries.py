@@ -120,12 +120,14 @@ def parse_block_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(P.exploded(rows, P.block_results(F.col("response"), "$.json_result[0]", "bbox_2d", "content", "label", F.lit(W), F.lit(H))))
 
 
-@query("""SELECT conv_id, turn, role, CASE (conv_id + turn) % 4 WHEN 3 THEN 'plain' ELSE text END AS text FROM (SELECT conv_id, turn, role, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE text NOT LIKE '%"%' AND text NOT LIKE '%\\%')""")
+@query("""SELECT conv_id, turn, role, CASE (conv_id + turn) % 4 WHEN 3 THEN 'plain' ELSE text END AS text FROM (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations)""")
 def parse_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").contains('"') & ~F.col("text").contains("\\")).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    rows, none = table(spark, sf_dir, "conversations"), F.lit(None).cast("string")
+    page = lambda markdown, text: F.struct(markdown.alias("markdown"), text.alias("text"))
+    whole = lambda pages, text: F.to_json(F.struct(F.array(*pages).cast("array<struct<markdown:string,text:string>>").alias("pages"), text.alias("text")))
     kind = (F.col("conv_id") + F.col("turn")) % 4
-    raw = F.when(kind == 0, _entry('{"pages":[{"markdown":"%s","text":"no"},{"markdown":"second"}]}', "text")).when(kind == 1, _entry('{"pages":[{"markdown":"","text":"%s"}]}', "text"))
-    raw = raw.when(kind == 2, _entry('{"pages":[],"text":"%s"}', "text")).otherwise("```plain```")
+    raw = F.when(kind == 0, whole([page(F.col("text"), F.lit("no")), page(F.lit("second"), none)], none)).when(kind == 1, whole([page(F.lit(""), F.col("text"))], none))
+    raw = raw.when(kind == 2, whole([], F.col("text"))).otherwise("```plain```")
     return rows.select("conv_id", "turn", "role", P.first_page_markdown(raw).alias("text"))
 
 

@@ -11,6 +11,7 @@ from pagemill.functions.text import clean_response, in_order
 from pagemill.operators import links as K
 from pagemill.operators import models as M
 from pagemill.operators import trees as T
+from pagemill.plans.conversion import Endpoint, first_endpoint
 from pagemill.plans.inputs import LINKS, REGIONS, URI_CELLS, regions, table, uri_cells
 from pagemill.plans.registry import query
 
@@ -101,11 +102,11 @@ def uri_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", U.escaped_ascii(raw).alias("uri"))
 
 
-@query("""WITH a AS (SELECT c_custkey, 8000 + c_custkey % 40 AS port FROM customer), b AS (SELECT s_suppkey, s_name, 8000 + s_suppkey AS port FROM supplier WHERE s_suppkey <= 30)
+@query("""WITH a AS (SELECT c_custkey, 8000 + c_custkey % 40 AS port FROM customer), b AS (SELECT s_suppkey, s_name, 8000 + s_suppkey AS port FROM supplier)
 SELECT c_custkey, s_name AS model FROM a JOIN b ON a.port = b.port""")
 def uri_port_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "customer").select("c_custkey", F.format_string("http://0.0.0.0:%d/v1/", 8000 + F.col("c_custkey") % 40).alias("uri"))
-    running = table(spark, sf_dir, "supplier").where("s_suppkey <= 30").select(F.col("s_name").alias("model"), F.format_string("http://localhost:%d", 8000 + F.col("s_suppkey")).alias("own"))
+    running = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("model"), F.format_string("http://localhost:%d", 8000 + F.col("s_suppkey")).alias("own"))
     left, right = asked.withColumn("port", U.normalized(F.col("uri")).port), running.withColumn("port", U.normalized(F.col("own")).port)
     return left.join(right, "port").select("c_custkey", "model")
 
@@ -119,10 +120,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions(spark, sf_dir).withColumns({"t": F.col("t") % 300, "b": F.col("t") % 300 + (F.col("b") - F.col("t"))})
 
 
-@query(f"""WITH {REGIONS}, {URI_CELLS}, i AS (SELECT page_id, item_pos, l, t % 300 AS t, r, t % 300 + (b - t) AS b FROM regions WHERE page_id <= 1000), u AS (SELECT * FROM uri_cells WHERE uri <> '' AND r > l AND b > t)
+@query(f"""WITH {REGIONS}, {URI_CELLS}, i AS (SELECT page_id, item_pos, l, t % 300 AS t, r, t % 300 + (b - t) AS b FROM regions), u AS (SELECT * FROM uri_cells WHERE uri <> '' AND r > l AND b > t)
 SELECT i.page_id, item_pos, cell_pos, text AS cell_text, uri FROM i JOIN u ON i.page_id = u.page_id WHERE greatest(0, least(i.r, u.r) - greatest(i.l, u.l)) * greatest(0, least(i.b, u.b) - greatest(i.t, u.t)) / ((u.r - u.l) * (u.b - u.t))::DOUBLE >= 0.3""")
 def item_uri_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.candidates(_items(spark, sf_dir).where("page_id <= 1000"), uri_cells(spark, sf_dir))
+    return K.candidates(_items(spark, sf_dir), uri_cells(spark, sf_dir))
 
 
 @query("""SELECT doc_id, w, CASE WHEN i > 0 THEN CAST(i - 1 AS INT) END AS s, CASE WHEN i > 0 THEN CAST(i - 1 + length(w) AS INT) END AS e FROM (SELECT doc_id, w, instr(lower(text), lower(w)) AS i FROM documents, (VALUES ('The and'), ('DER'), ('licensed'), ('zzz')) v(w))""")
@@ -314,7 +315,7 @@ def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'http://own' END, CASE WHEN c_custkey % 2 = 0 THEN 'http://client' END, 'http://default') AS base_url FROM customer")
 def endpoint_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.when(key % 3 == 0, "http://own"), F.when(key % 2 == 0, "http://client"), F.lit("http://default")).alias("base_url"))
+    return table(spark, sf_dir, "customer").select("c_custkey", first_endpoint(F.when(key % 3 == 0, "http://own"), F.when(key % 2 == 0, "http://client"), F.lit(Endpoint("http://default").base_url)).alias("base_url"))
 
 
 @query("SELECT c_custkey, concat('dpi=', CAST(c_custkey % 600 AS VARCHAR), ',mode=', c_mktsegment, ',temperature=0') AS options FROM customer")

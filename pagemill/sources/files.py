@@ -155,6 +155,18 @@ def saved_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return files.select("path", F.from_json(unzipped("content"), schema).alias("document"))
 
 
+def held(df: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """``df``, written once into a run's folder and read from there, and where it is; ``delete`` it in the end."""
+    path = os.path.join(folder, f"_held-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def last_run(spark: SparkSession, folder: str) -> str | None:
     """The last by name of the folder's runs."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
