@@ -10,7 +10,7 @@ of the whole item is the similarity, so edited and paraphrased copies count by w
 The benchmark is handled in slices of bounded size, each sent to the executors whole.
 
 Edge cases: null or empty texts on either side match nothing; items under ``min_words`` words
-are no evidence and match nothing; repeated rows each get their own result; empty tables give
+are no evidence and match nothing, and a short item needs ``min_matched`` of its words or all of them; repeated rows each get their own result; empty tables give
 an empty result.
 """
 
@@ -81,6 +81,17 @@ class Seeds:
         return np.concatenate(out) if out else np.zeros((0, 4), dtype=np.int64)
 
 
+def _vocabulary(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the distinct words of the benchmark, all slices together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(W.scan(W.encoded(b.column(0), lower=True)).hash).view(np.int64))], names=["word"])
+
+    found = texts.select("text").mapInArrow(run, "word long").distinct().toArrow().column("word").to_numpy()
+    return np.sort(np.ascontiguousarray(found).view(np.uint64))
+
+
 def _counts(docs: DataFrame, wanted: np.ndarray) -> tuple[dict[int, int], int]:
     """Corpus counts of the wanted words (sorted hashes), and of all words."""
 
@@ -148,11 +159,12 @@ def _windows(hits: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
 _SPAN = 4096
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_words: int = 5, shortest: int = 3, longest: int = 8, max_expected: float = 1.0) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_words: int = 5, shortest: int = 3, longest: int = 8, max_expected: float = 1.0, min_matched: int = 6) -> DataFrame:
     """One row per document and item that align: doc_id, item_id, similarity, matched words and spans.
 
     Spans count words from 0, ends excluded; of several places in a document the best one, then
-    the first, is reported.  similarity is between ``threshold`` and 1.
+    the first, is reported.  similarity is between ``threshold`` and 1; of an item so short that
+    ``threshold`` stands for fewer than ``min_matched`` words, between that many words and 1.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -160,6 +172,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_w
     slices = max(1, -(-text_bytes(tests) // SLICE_BYTES))
     schema = "doc_id long, item_id long, similarity double, n_matched int, doc_begin int, doc_end int, item_begin int, item_end int"
     result = None
+    wanted = _vocabulary(tests)
+    # the corpus is counted once, however many slices there are
+    counts, total = _counts(docs, wanted) if len(wanted) else ({}, 0)
     for s in range(slices):
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).orderBy("item_id", "text").collect()
         names, items = [], []
@@ -168,8 +183,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_w
             if len(hashes) >= min_words:
                 names.append(r.item_id)
                 items.append(hashes)
-        wanted = np.unique(np.concatenate(items)) if items else np.zeros(0, dtype=np.uint64)
-        counts, total = _counts(docs, wanted) if items else ({}, 0)
         seeds = seeds_of(items, counts, total, min(shortest, min_words), longest, max_expected)
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds, names: list[int] = names) -> Iterator[pa.RecordBatch]:
@@ -191,7 +204,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_w
                                 score, n, ia, ib, da, db = align(item, words.hash[at:stop])
                                 found = (score / (MATCH * len(item)), -(at + da - first), n, at + db - first, ia, ib)
                                 best = max(best, found) if best else found
-                        if best and best[0] >= threshold:
+                        if best and best[0] >= max(threshold, min(1.0, min_matched / len(item))):
                             rows.append((ids[begin + d], names[k], best[0], best[2], -best[1], best[3], best[4], best[5]))
                 cols = list(zip(*rows, strict=True)) or [()] * 8
                 types = [pa.int64(), pa.int64(), pa.float64(), *[pa.int32()] * 5]

@@ -3,8 +3,8 @@
 Every rolling word k-gram hash of every document is joined to the templates' k-gram positions.
 A match votes for the diagonal document position minus template position; votes are summed by
 document, template and diagonal, each diagonal is a span, neighbouring diagonals without the whole
-template (an inserted or lost word) are also merged into one, and a span is verified by the share of the template's k-grams that it really has
-and by how densely it has them.  The templates are a constant of this module, a few KB.
+template (an inserted or lost word) are also merged into one, and a span is verified by the share
+of the template's k-grams that it really has and by how densely it has them.  The templates are a constant of this module, a few KB.
 
 Edge cases: null and empty texts have no words, no labels ('') and the score 0; repeated rows
 get equal results; rows with a null id are scanned like others; an empty table gives no rows.
@@ -41,6 +41,9 @@ TEMPLATES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("gpl-2", "either version 2 of the license or at your option any later version"),
+    ("gpl-3", "either version 3 of the license or at your option any later version"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -130,11 +133,14 @@ def spans(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K) -> DataFram
     return out.where((F.col("coverage") >= COVERAGE) & (F.col("votes") >= DENSITY * (F.col("last") - F.col("first") + 1))).select("uid", "template", "label", "first", (F.col("last") + k).alias("last"), "coverage")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
+def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
+
+    ``templates`` are (label, wording), from a sentence to a whole license; they are sent to all tasks.
+    """
     small_batches(docs.sparkSession)
     docs = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = spans(docs).groupBy("uid").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
+    found = spans(docs, templates).groupBy("uid").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
     rows = base(docs).join(found, "uid", "left")
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", none)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagemill.llm import decontaminate, langid, langmodel, licenses, pieces, quality, simhash, substrings, toxicity, urls
 from pagemill.llm.store import load
@@ -52,7 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = urls.page_outcomes(load(spark, sf_dir, "labels"))
-    return urls.judge(load(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
+    return urls.judge(load(spark, sf_dir, "pages"), outcomes).withColumn("bad_bound", F.round("bad_bound", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -81,7 +81,8 @@ def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     ``fps`` has distinct ``fp``.  In small blocks every pair is verified.  In large ones (many
     near copies in one block) each fingerprint is filed under its rest and the rest's one-bit
     variants: two share a file exactly if they differ in two bits or fewer, so linking each to
-    the least of the file links all without emitting the pairs.
+    the least of the file links all without emitting the pairs.  At one bit each fingerprint has
+    32 variants at most that are another's, and these pairs are all.
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("four parts and six blocks cover up to two differing bits")
@@ -90,8 +91,11 @@ def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     shared = blocks.join(sizes, "key")
     small, large = shared.where(F.col("n") <= PAIRWISE), shared.where(F.col("n") > PAIRWISE)
     pairs = small.select("key", F.col("fp").alias("u")).join(small.select("key", F.col("fp").alias("v")), "key").where("u > v").select("u", "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance)
-    variants = F.array(*(F.lit(f).cast("long") for f in (0, *(1 << i for i in range(32)))[: 33 if max_distance else 1]))
+    variants = F.array(*(F.lit(f).cast("long") for f in (0, *(1 << i for i in range(32)))))
     filed = large.select("key", "fp", F.explode(F.transform(variants, lambda f: F.col("rest").bitwiseXOR(f))).alias("file"))
+    if max_distance < 2:  # those of a file can be two bits apart: only a variant that is there itself is a neighbour
+        there = large.select("key", F.col("rest").alias("file"), F.col("fp").alias("v"))
+        return pairs.unionByName(filed.join(there, ["key", "file"]).where("fp > v").select(F.col("fp").alias("u"), "v").where(F.lit(max_distance == 1))).distinct()
     least = filed.groupBy("key", "file").agg(F.min("fp").alias("v"), F.count("*").alias("m")).where("m > 1").drop("m")
     stars = filed.join(least, ["key", "file"]).where("fp <> v").select(F.col("fp").alias("u"), "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance)
     return pairs.unionByName(stars).distinct()
@@ -281,6 +285,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         rows = _described(docs, shingle, similarity, _common(docs, shingle, count)).repartition(buckets, "doc_id")
         rows = rows.groupBy("doc_id").agg(F.min(F.struct("same", "size", "keys", "grams", "more")).alias("row")).select("doc_id", "row.*")
         described = bucketed(rows, "doc_id", buckets, "described")
+        forget(spark)
         classes = described.groupBy("same").agg(F.min("doc_id").alias("node"))
         members = saved(described.select("doc_id", "same").join(classes, "same").select("doc_id", "node"), "members")
         own = described.join(members.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", "keys")

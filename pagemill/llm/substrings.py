@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -40,6 +41,8 @@ SHARD_BYTES = 12 << 20
 AUTOMATON_CHARS = 2_000_000
 #: Characters of the automata's texts for one word.
 DIGITS = 3
+#: Words of one pattern: longer passages are compiled in overlapping parts, so that few patterns end at any word.
+PATTERN_WORDS = 64
 _NONE = np.iinfo(np.int64).max
 
 
@@ -120,12 +123,15 @@ def _spelled(known: np.ndarray, hashes: np.ndarray) -> str:
 
 
 def _passages(at: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
-    """Runs of neighbouring windows of one owner: first word, last word (excluded), owner."""
+    """Runs of neighbouring windows of one owner, in parts that share all but one word of a window: first word, last word (excluded), owner."""
     new = np.ones(len(at), dtype=bool)
     new[1:] = (np.diff(at) != 1) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(at)) - 1
-    yield from zip(at[begin].tolist(), (at[last] + size).tolist(), owner[begin].tolist(), strict=True)
+    longest = max(PATTERN_WORDS, size)
+    for a, b, who in zip(at[begin].tolist(), (at[last] + size).tolist(), owner[begin].tolist(), strict=True):
+        for part in range(a, b - size + 1, longest - size + 1):
+            yield part, min(b, part + longest), who
 
 
 def _removed(block: Block, at: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
@@ -150,8 +156,8 @@ def _removed(block: Block, at: np.ndarray, owner: np.ndarray, size: int) -> np.n
         # one stream a document: an occurrence doesn't run over a document's end
         for d in streams:
             a, b, own = int(bounds[d]), int(bounds[d + 1]), block.ids[d]
-            found = [(end, n) for end, (n, who) in automaton.iter(chars[DIGITS * a : DIGITS * b]) if who < own]
-            if found:
+            hits = ((end, n) for end, (n, who) in automaton.iter(chars[DIGITS * a : DIGITS * b]) if who < own)
+            while found := list(islice(hits, 1 << 16)):
                 end, n = np.array(found, dtype=np.int64).T
                 end = end // DIGITS + a + 1
                 np.add.at(covered, end - n, 1)

@@ -7,7 +7,7 @@ A page that no rule fits is blocked if the lower posterior bound of its host's b
 exceeds a limit; a host without labels has its prior.
 
 Edge cases: a null url or one without ``://`` has empty host and path; a host without a dot is
-its own domain and suffix; without labels everything is allowed that no rule blocks; repeated
+its own domain and suffix, and so is an address; user and port are no part of either; without labels everything is allowed that no rule blocks; repeated
 pages each get a row; labels that repeat for a page count each; an empty table gives no rows.
 """
 
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.store import saved
+
 #: (verdict, host and path); a rule fits the host and its subdomains.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Suffixes of two labels under which names are registered.
@@ -38,16 +40,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
 def domain_of(host: Column) -> Column:
+    """What is registered: a suffix of one or two labels and the label before it; addresses are whole."""
+    host = name_of(host)
     labels = F.split(host, r"\.")
     two = F.array_join(F.slice(labels, -2, 2), ".")
     three = F.array_join(F.slice(labels, -3, 3), ".")
     n = F.size(labels)
-    return F.when(n <= 2, host).when(two.isin(*TWO_LABEL_SUFFIXES), F.when(n >= 3, three).otherwise(host)).otherwise(two)
+    return F.when((n <= 2) | host.rlike(r"^([0-9.]+|\[.*\])$"), host).when(two.isin(*TWO_LABEL_SUFFIXES), F.when(n >= 3, three).otherwise(host)).otherwise(two)
 
 
 def suffix_of(domain: Column) -> Column:
-    return F.when(domain.contains("."), F.regexp_extract(domain, r"(?s)^[^.]*\.(.*)$", 1)).otherwise(domain)
+    return F.when(domain.contains(".") & ~domain.rlike(r"^([0-9.]+|\[.*\])$"), F.regexp_extract(domain, r"(?s)^[^.]*\.(.*)$", 1)).otherwise(domain)
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
@@ -87,7 +96,9 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataF
     ``pages`` has page_id, host, domain and suffix; ``outcomes`` has page_id and bad (0/1).
     """
     labelled = pages.select("page_id", "host", "domain", "suffix").join(outcomes.where("bad in (0, 1)").select("page_id", "bad"), "page_id")
+    # a row for each host: read by all that follows, so that pages and labels are joined once
     by_host = labelled.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    by_host = saved(by_host, "hosts")
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     row = by_suffix.agg(F.sum("n"), F.sum("bad")).first()
@@ -149,13 +160,14 @@ ruled AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM split),
+bare AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM ruled),
 parts AS (
-  SELECT *, CASE WHEN len(string_split(host, '.')) <= 2 THEN host
-    WHEN array_to_string(string_split(host, '.')[-2:], '.') IN {TWO_LABEL_SUFFIXES} THEN array_to_string(string_split(host, '.')[-3:], '.')
-    ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain
-  FROM ruled),
+  SELECT *, CASE WHEN len(string_split(name, '.')) <= 2 OR regexp_matches(name, '^([0-9.]+|\\[.*\\])$') THEN name
+    WHEN array_to_string(string_split(name, '.')[-2:], '.') IN {TWO_LABEL_SUFFIXES} THEN array_to_string(string_split(name, '.')[-3:], '.')
+    ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain
+  FROM bare),
 named AS (
-  SELECT *, CASE WHEN contains(domain, '.') THEN regexp_extract(domain, '(?s)^[^.]*\\.(.*)$', 1) ELSE domain END AS suffix FROM parts),
+  SELECT *, CASE WHEN contains(domain, '.') AND NOT regexp_matches(domain, '^([0-9.]+|\\[.*\\])$') THEN regexp_extract(domain, '(?s)^[^.]*\\.(.*)$', 1) ELSE domain END AS suffix FROM parts),
 by_host AS (
   SELECT host, domain, suffix, count(*) AS n, sum(1 - quality) AS bad
   FROM named JOIN labels ON page_id = doc_id WHERE quality IN (0, 1) GROUP BY ALL),
@@ -173,6 +185,6 @@ means AS (
 SELECT page_id, named.host AS host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN m - 1.645 * sqrt(m * (1 - m) / size) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN m - 1.645 * sqrt(m * (1 - m) / size) > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(m - 1.645 * sqrt(m * (1 - m) / size), 6) AS bad_bound
 FROM named JOIN means ON named.host = means.host
 """

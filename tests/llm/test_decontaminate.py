@@ -85,6 +85,12 @@ def test_long_runs_of_hits(spark, n, monkeypatch):
     assert [r.similarity for r in got] == [1.0]
 
 
+def test_short_items_need_more_than_a_few_words(spark):
+    df = spark.createDataFrame([(1, "x alpha beta gamma y z"), (2, "x alpha beta gamma delta epsilon y"), (3, "alpha beta gamma delta q")], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    assert [(r.doc_id, r.similarity) for r in D.matches(df, tests).collect()] == [(2, 1.0)]
+
+
 def test_short_items_of_common_words_are_found(spark):
     rng = random.Random(2)
     words = ["the", "of", "and", "to", "in", "is"]

@@ -46,7 +46,7 @@ def test_one_language_or_none(spark):
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", df.lang.substr(9, 1)).where("lang <> ''").unionByName(df.selectExpr("doc_id", "text", "cast(null as string) lang"))).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("text, want", [("1D10T!!", " idiot "), ("ѕtuріd, $cum", " stupid scum "), ("Été 2024 ok", " été ok "), ("", "  "), ("ＭＯＲＯＮ", " moron ")])
+@pytest.mark.parametrize("text, want", [("1D10T!!", " idiot "), ("ѕtuріd, $cum", " stupid scum "), ("Été 2024 ok", " été ok "), ("", "  "), ("ＭＯＲＯＮ", " moron "), ("𝐦𝐨𝐫𝐨𝐧 s\u0336c\u0336um", " moron scum ")])
 def test_folding(text, want):
     assert toxicity.fold(text) == want
 

@@ -54,3 +54,29 @@ def test_no_labels_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.kept for r in quality.rules(docs, labels).collect()] == [True]
     assert quality.rules(docs.where("false"), labels).count() == 0
+
+
+def test_features_are_of_one_text_only():
+    import numpy as np
+
+    from pagemill.llm import langid
+
+    texts = [t.encode() for t in ("hello world", "zebra", "", "été", "été mit Maß", "a", " x ", "hello world")]
+    for featurize in (quality.featurize, langid.featurize):
+        every = featurize(texts)
+        for i, t in enumerate(texts):
+            assert np.array_equal(every[i], featurize([t])[0])
+        assert np.array_equal(featurize(texts[::-1])[::-1], every)
+
+
+def test_rows_in_any_order_and_labels_that_differ(spark):
+    rows = make(120, seed=4)
+    labels = [(d, int(q)) for d, _, q in rows if d % 2]
+    table = lambda r, n: spark.createDataFrame([(d, t) for d, t, _ in r], "doc_id long, text string").repartition(n)
+    key = lambda r: (r.doc_id, r.kept, r.probability)
+    given = spark.createDataFrame(labels, "doc_id long, quality int")
+    want = sorted(map(key, quality.rules(table(rows, 1), given).collect()))
+    both = spark.createDataFrame([*labels, *labels[:9], (2, 0), (2, 1), (4, 1), (4, 0), (None, 1)], "doc_id long, quality int")
+    got = sorted(map(key, quality.rules(table(rows[::-1], 5), both).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert max(abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)) < 0.02  # prior counts all labels

@@ -73,6 +73,25 @@ def test_large_blocks_lose_no_link(spark, monkeypatch):
         assert near == (a in nodes)
 
 
+def test_large_blocks_at_one_bit(spark, monkeypatch):
+    from pagemill.llm.graph import components
+
+    rng = random.Random(8)
+    base, fps = rng.getrandbits(62), set()
+    for _ in range(60):
+        f = base
+        for _ in range(rng.randrange(1, 4)):
+            f ^= 1 << rng.randrange(20)
+        fps.add(f)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = {}
+    for limit in (10**6, 2):
+        monkeypatch.setattr(simhash, "PAIRWISE", limit)
+        found[limit] = {(r.node, r.label) for r in components(simhash.links(df, 1)).collect()}
+        assert simhash.links(df, 0).count() == 0
+    assert found[2] == found[10**6] and {n for n, _ in found[2]} == {a for a in fps if any((a ^ b).bit_count() == 1 for b in fps)}
+
+
 def test_extra_columns_nulls_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b c d", 5, "x"), (1, "a b c d", 6, "y"), (None, "a b c d", 7, "z")], "doc_id long, text string, fp int, component_id string")
     got = simhash.near_duplicates(df).collect()

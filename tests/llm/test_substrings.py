@@ -61,6 +61,15 @@ def test_automata_are_sharded(spark, monkeypatch):
     assert got == brute(rows, 8)
 
 
+def test_runs_of_one_word_in_many_lengths(spark, monkeypatch):
+    """Patterns that are each other's ends: matches stay bounded and all words are found."""
+    monkeypatch.setattr(substrings, "PATTERN_WORDS", 20)
+    rows = [(d, " ".join(["z"] * (13 + 7 * d) + [f"e{d}"] + ["y"] * (200 - d))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substrings.deduplicate(df, texts=True).collect()), key=str)
+    assert got == brute(rows, 13)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.deduplicate(df).count() == 0
