@@ -122,6 +122,8 @@ ORDERED_BY = 8192
 COMMON = 3
 #: Texts of a file that one task compares with those of the file's other groups.
 PART = 256
+#: Files of more texts than ``CROWD`` have so many hubs a turn instead of one; this steers which pairs are compared first only.
+HUBS, CROWD = 16, 64
 #: Least shingle hashes of a text that pairs are looked at by first: all of most texts, an even sample of the whole of a longer one.
 SKETCH = 1024
 #: A pair is left out by its sample if that is so far under the limit, eight standard deviations; else the whole sets decide.
@@ -202,16 +204,17 @@ def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
     named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     files = groups.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("big"), F.count("*").alias("groups"), F.sum("m").alias("n"))
-    return named.join(files.where("groups > 1").drop("groups"), "key")
+    return named.drop("n").join(files.where("groups > 1").drop("groups"), "key")
 
 
 def _with_hubs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs of each text outside its file's largest group (each text where ``big`` is null) with one text of that group.
+    """Pairs of each text outside its file's largest group (each text where ``big`` is null) with one text of that group, several in a crowd.
 
-    Another text in each turn and in each fourth of the files, so that one odd text parts no group.
+    Other texts in each turn and in each fourth of the files, so that one odd text parts no group.
     """
     order = F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4))).alias("order")
-    hubs = rows.where("label <=> big or big is null").groupBy("key").agg(F.min(F.struct(order, "node", "pos", "size")).alias("hub"))
+    seat = F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("node", F.lit(turn), F.lit(5)), F.lit(HUBS))).otherwise(0)
+    hubs = rows.where("label <=> big or big is null").groupBy("key", seat.alias("seat")).agg(F.min(F.struct(order, "node", "pos", "size")).alias("hub"))
     met = rows.where("label <> big or big is null").join(hubs, "key").where("node <> hub.node").where(_alike(similarity, "", "hub."))
     return met.select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v")).distinct()
 
@@ -260,7 +263,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return first.where("sure").unionByName(second).select("u", "v")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
     """(doc_id, group_id) for each document that has near copies; group_id is its group's least doc_id.
 
     Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word
@@ -290,7 +293,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         members = saved(described.select("doc_id", "same").join(classes, "same").select("doc_id", "node"), "members")
         own = described.join(members.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", "keys")
         files = own.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-        shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key"), "files")
+        shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "files")
         forget(spark)
         none = F.lit(None).cast("long")
         links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0, similarity), described, similarity), "links")
