@@ -1,9 +1,10 @@
 """Language-model scores from a weighted backoff automaton over bigrams of the whole corpus.
 
 The root state holds smoothed unigrams; each known word is a state.  From state v an arc on
-word w carries log10(m * c(v,w)/c(v) + (1-m) * p(w)); where there is none, the failure arc of
-v leads to the root at the cost log10(1-m) (0 for an unknown v) and the root reads w at
-log10 p(w), p(w) = (c(w)+1)/(N+V+1).  So each state's outgoing probabilities sum to one.  One
+word w carries log10 of (c(v,w) + k * p(w)) / (c(v) + k), Dirichlet smoothing of strength k; where
+there is none, the failure arc of v leads to the root at the weight k / (c(v) + k), so a state seen
+often backs off dearly and an unknown one for nothing, and the root reads w at
+p(w) = (c(w)+1)/(N+V+1).  So each state's outgoing probabilities sum to one.  One
 left-to-right traversal carries the state (the last word) and adds up the arcs taken.
 
 Counts are exact and cover all training documents: blocks of documents send their distinct
@@ -12,7 +13,7 @@ then holds the part of the automaton that its documents can reach, and no more.
 
 Edge cases: null and empty texts are the end token alone; without training rows N and V are
 zero and every word has p = 1; repeated rows count as often as they occur; a null doc_id counts
-as held out.
+as held out; texts are taken whole; columns beside doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pagemill.llm.store import crc_rest, saved, small_batches, text_bytes
 
 #: Text bytes whose keys meet in one shard.
 SHARD_BYTES = 12 << 20
+#: Smoothing of the bigrams: as many words read by the root as so many occurrences of a state weigh.
+STRENGTH = 20.0
 #: Key of the end token: outside the words' texts, so it equals a word's key only by chance, 2^-64.
 END = W.mix(np.array([0xA5A5A5A5A5A5A5A5], dtype=np.uint64))[0]
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -49,7 +52,7 @@ class Automaton:
     arc_counts: np.ndarray
     total: int
     types: int
-    mass: float
+    strength: float
 
     def count(self, words: np.ndarray) -> np.ndarray:
         return _looked_up(self.words, self.counts, words)
@@ -62,8 +65,8 @@ class Automaton:
         """log10 probability of reading each word in its state."""
         at, p = self.count(state), self.root(self.count(word))
         both = _looked_up(self.arcs, self.arc_counts, pair_key(state, word))
-        failure = np.where(at > 0, np.log10(1 - self.mass), 0.0)
-        arc = np.log10(self.mass * both / np.maximum(at, 1) + (1 - self.mass) * 10.0**p)
+        failure = np.log10(self.strength / (at + self.strength))
+        arc = np.log10((both + self.strength * 10.0**p) / (at + self.strength))
         return np.where(both > 0, arc, failure + p)
 
 
@@ -104,14 +107,14 @@ class _Tokens:
         return keys[order][begin], counts.astype(np.uint32)
 
 
-def scores(docs: DataFrame, held_out: str = "held_out", mass: float = 0.5) -> DataFrame:
+def scores(docs: DataFrame, held_out: str = "held_out", strength: float = STRENGTH) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` names a boolean column; its false rows are the training documents.
     """
     small_batches(docs.sparkSession)
-    if not 0 < mass < 1:
-        raise ValueError("the mass of the bigram arcs lies between 0 and 1")
+    if strength <= 0:
+        raise ValueError("the strength of smoothing is over 0")
     total = text_bytes(docs)
     n_blocks, n = max(1, -(-total // X.BLOCK_BYTES)), max(1, -(-total // SHARD_BYTES))
     blocks = docs.select(
@@ -152,7 +155,7 @@ def scores(docs: DataFrame, held_out: str = "held_out", mass: float = 0.5) -> Da
         kind = np.asarray(reply.column("kind").to_pylist(), dtype=np.int64)
         word, arc = np.unique(own.key), np.unique(pair_key(own.before, own.key))
         found = [X.answered(reply.filter(pa.array(kind == k)), keys, n, np.int64) for k, keys in ((0, word), (1, arc))]
-        model = Automaton(word, found[0], arc, found[1], tokens, types, mass)
+        model = Automaton(word, found[0], arc, found[1], tokens, types, strength)
         count = model.count(own.key)
         begin = own.first[:-1]
         return pa.table({
@@ -169,6 +172,6 @@ def scores(docs: DataFrame, held_out: str = "held_out", mass: float = 0.5) -> Da
     return blocks.groupBy("block").cogroup(replies.select("block", "shard", "answer", "kind").groupBy("block")).applyInArrow(score, schema)
 
 
-def corpus_scores(docs: DataFrame, divisor: int = 7, rest: int = 2, mass: float = 0.5) -> DataFrame:
+def corpus_scores(docs: DataFrame, divisor: int = 7, rest: int = 2, strength: float = STRENGTH) -> DataFrame:
     """``scores`` with the documents whose crc32 of the id leaves ``rest`` held out of the training."""
-    return scores(docs.withColumn("held_out", F.coalesce(crc_rest("doc_id", divisor) == rest, F.lit(True))), "held_out", mass)
+    return scores(docs.withColumn("held_out", F.coalesce(crc_rest("doc_id", divisor) == rest, F.lit(True))), "held_out", strength)

@@ -8,7 +8,7 @@ import pytest
 from pagemill.llm import exchange, langmodel
 
 
-def brute(rows, mass=0.5):
+def brute(rows, k=20.0):
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     uni, bi = Counter(), Counter()
     held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
@@ -24,7 +24,7 @@ def brute(rows, mass=0.5):
         for a, b in zip([None, *w], w):
             p = (uni[b] + 1) / (n + 1 * (v + 1))
             base += math.log10(p)
-            q = mass * bi[a, b] / uni[a] + (1 - mass) * p if bi[a, b] else ((1 - mass) if uni[a] else 1) * p
+            q = (bi[a, b] + k * p) / (uni[a] + k)
             score += math.log10(q)
         out.append((d, held(d), len(w), sum(uni[b] > 0 for b in w), n, base, score))
     return out
@@ -56,3 +56,19 @@ def test_no_rows_and_no_training_rows(spark):
     one = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     (r,) = langmodel.corpus_scores(one).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_states_sum_to_one():
+    import numpy as np
+
+    words = np.sort(langmodel.W.mix(np.arange(1, 6, dtype=np.uint64)))
+    counts = np.array([7, 3, 1, 4, 0])
+    pairs = {(0, 1): 3, (0, 0): 2, (1, 3): 3, (3, 2): 1}
+    keys = np.array([langmodel.pair_key(words[a : a + 1], words[b : b + 1])[0] for a, b in pairs], dtype=np.uint64)
+    order = np.argsort(keys)
+    model = langmodel.Automaton(words, counts, keys[order], np.array([*pairs.values()])[order], 15, 4, 20.0)
+    for v in range(5):
+        # all words there are, and one for all that were never seen
+        every = 10.0 ** model.traverse(np.repeat(words[v : v + 1], 5), words)
+        assert every[counts == 0].sum() > 0
+        assert math.isclose(every.sum(), 1.0, rel_tol=1e-9)
