@@ -63,7 +63,7 @@ def test_states_sum_to_one():
 
     words = np.sort(langmodel.W.mix(np.arange(1, 6, dtype=np.uint64)))
     counts = np.array([7, 3, 1, 4, 0])
-    pairs = {(0, 1): 3, (0, 0): 2, (1, 3): 3, (3, 2): 1}
+    pairs = {(0, 1): 3, (0, 0): 2, (0, 3): 2, (1, 3): 3, (2, 0): 1, (3, 2): 1, (3, 0): 3}
     keys = np.array([langmodel.pair_key(words[a : a + 1], words[b : b + 1])[0] for a, b in pairs], dtype=np.uint64)
     order = np.argsort(keys)
     model = langmodel.Automaton(words, counts, keys[order], np.array([*pairs.values()])[order], 15, 4, 20.0)
