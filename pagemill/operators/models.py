@@ -27,6 +27,16 @@ def all_names(models: DataFrame) -> DataFrame:
     return models.select(F.explode(names).alias("name"), "model_name")
 
 
+def registered(calls: DataFrame, default: str = "registry") -> DataFrame:
+    """name, provider, model_name, position of a log of registrations with these columns.
+
+    The last call for a name and a provider says the model, the first one its place among the
+    name's providers; a null provider is the default one.  To register is to append a row.
+    """
+    provider = F.coalesce("provider", F.lit(default)).alias("provider")
+    return calls.groupBy("name", provider).agg(F.max_by("model_name", "position").alias("model_name"), F.min("position").alias("position"))
+
+
 def resolved(requests: DataFrame, registered: DataFrame, default: str = "registry") -> DataFrame:
     """Requests (request_id, name, provider) with the provider that serves them; unknown names give null.
 

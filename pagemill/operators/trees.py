@@ -20,7 +20,9 @@ def ordered(nodes: DataFrame, root: int | str, depth: int = 32) -> DataFrame:
 
     ``nodes`` has node_id, parent_id and child_pos.  The walk is a recursive query that carries
     the positions from the root, whose order is the reading order; ``depth`` stops a cycle.
+    The session's limit on the rows of a recursion is lifted: a corpus has more nodes.
     """
+    nodes.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     query = f"""
         WITH RECURSIVE walk(node_id, level, path) MAX RECURSION LEVEL {depth} AS (
           SELECT node_id, 1, lpad(CAST(child_pos AS STRING), 8, '0') FROM {{nodes}} WHERE parent_id = {{root}}

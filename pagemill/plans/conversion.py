@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,37 @@ def first_endpoint(*urls: Column) -> Column:
     return F.coalesce(*urls)
 
 
+@dataclass(frozen=True)
+class Family:
+    """A provider that serves any model name: its address, where its key stands, whether pictures are described on the way."""
+
+    base_url: str | None = None
+    key_variable: str | None = None
+    url_variable: str | None = None
+    describes_inline: bool = False
+
+
+#: Providers with their public addresses and the variables of their keys.
+FAMILIES = {
+    "hf": Family(),
+    "google": Family("https://generativelanguage.googleapis.com/v1beta/openai/", "GOOGLE_API_KEY", "GOOGLE_API_BASE_URL", True),
+    "openai": Family(None, "OPENAI_API_KEY", describes_inline=True),
+    "azure": Family(None, "AZURE_OPENAI_API_KEY", "AZURE_OPENAI_ENDPOINT"),
+    "anthropic": Family("https://api.anthropic.com/v1/", "ANTHROPIC_API_KEY", describes_inline=True),
+}
+
+
+def family_endpoint(provider: str, model: str, url: str | None = None, api_key: str | None = None, environment: Mapping[str, str] = os.environ) -> Endpoint:
+    """Endpoint of any model of a provider: the url and key given, or else its own; a key that is nowhere is empty."""
+    if provider not in FAMILIES:
+        raise ValueError(f"no provider {provider}; there are {', '.join(FAMILIES)}")
+    family = FAMILIES[provider]
+    found = environment.get(family.url_variable or "", family.base_url)
+    if api_key is None and family.key_variable:
+        api_key = environment.get(family.key_variable, "")
+    return Endpoint(found if url is None else url, model, api_key=api_key)
+
+
 @dataclass(frozen=True)
 class Conversion:
     """Settings of a run; ``before`` and ``after`` are applied in order."""

@@ -268,6 +268,13 @@ def registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.all_names(_models(spark, sf_dir))
 
 
+@query("""WITH c AS (SELECT lower(p_type) AS name, coalesce(CASE WHEN p_size % 3 <> 0 THEN split_part(p_name, ' ', 1) END, 'registry') AS provider, lower(p_brand) AS model_name, p_partkey AS position FROM part)
+SELECT name, provider, arg_max(model_name, position) AS model_name, min(position) AS position FROM c GROUP BY ALL""")
+def registry_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    provider = F.when(F.col("p_size") % 3 != 0, F.split_part("p_name", F.lit(" "), F.lit(1))).alias("provider")
+    return M.registered(table(spark, sf_dir, "part").select(F.lower("p_type").alias("name"), provider, F.lower("p_brand").alias("model_name"), F.col("p_partkey").alias("position")))
+
+
 _OFFERS = "offers AS (SELECT concat('m', CAST(k % 50 AS VARCHAR)) AS name, ['hf', 'registry', 'google', 'openai'][k % 4 + 1] AS provider, k AS position FROM range(0, 120) g(k) WHERE k % 7 <> 0)"
 
 

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import model
-from pagemill.plans.conversion import Conversion, Endpoint, convert, described
+from pagemill.operators import model, models, trees
+from pagemill.plans.conversion import FAMILIES, Conversion, Endpoint, convert, described, family_endpoint
 
 
 def Layout():
@@ -51,6 +51,27 @@ def test_settings():
     assert (whole.base_url, whole.model_name) == ("http://x", "m") and "k" not in repr(whole).replace("max", "")
 
 
+def test_providers_of_any_model():
+    keys = {"OPENAI_API_KEY": "k", "AZURE_OPENAI_ENDPOINT": "https://own"}
+    assert family_endpoint("openai", "m", environment=keys).api_key == "k" and family_endpoint("openai", "m", api_key="", environment=keys).api_key == ""
+    assert family_endpoint("azure", "m", environment=keys).base_url == "https://own" and family_endpoint("azure", "m", "https://x", environment=keys).base_url == "https://x"
+    assert family_endpoint("hf", "m", environment={}) == Endpoint(None, "m") and family_endpoint("google", "m", environment={}).base_url == FAMILIES["google"].base_url
+    with pytest.raises(ValueError):
+        family_endpoint("none", "m")
+
+
+def test_registrations(spark):
+    calls = spark.createDataFrame([("a", "x", "one", 1), ("a", None, "two", 2), ("a", "x", "three", 3)], "name string, provider string, model_name string, position long")
+    assert {tuple(r) for r in models.registered(calls).collect()} == {("a", "x", "three", 1), ("a", "registry", "two", 2)}
+
+
+def test_tree_has_no_row_limit(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "5")
+    nodes = spark.range(40).selectExpr("concat('n', id) AS node_id", "CASE WHEN id < 4 THEN 'top' ELSE concat('n', id % 4) END AS parent_id", "CAST(id AS INT) AS child_pos")
+    got = [r.node_id for r in trees.ordered(nodes, "top").orderBy("path").collect()]
+    assert len(got) == 40 and got[:3] == ["n0", "n4", "n8"] and got[-1] == "n39"
+
+
 def test_nested_and_relational_forms(spark):
     box = {"l": 1.0, "t": 2.0, "r": 3.0, "b": 4.0}
     page = {"text": None, "page_number": 4, "items": [{"category": "text", "box": box, "text": "a"}, {"category": "table", "box": box, "text": "b"}]}
