@@ -86,9 +86,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, label: str = "lang"
     code = codewords(len(languages))
     own = np.array([languages.index(n) for n in names], dtype=np.int64)
     if not code.shape[1]:
-        return Model(languages, code, np.zeros((x.shape[1], 0)), np.zeros(0), 1.0)
+        return Model(languages, code, np.zeros((x.width, 0)), np.zeros(0), 1.0)
     w, b = logit.fit(x, code[own])
-    margin, y = (x @ w + b).ravel(), code[own].ravel()
+    margin, y = (x.dot(w) + b).ravel(), code[own].ravel()
     return Model(languages, code, w, b, logit.calibration(margin, y)[0])
 
 

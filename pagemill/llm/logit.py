@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +76,51 @@ def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             yield a, min(j, a + AT_ONCE)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, featurize: Featurizer, per_class: int) -> tuple[list, np.ndarray]:
+@dataclass
+class Rows:
+    """Rows of features of which only those that aren't zero are held; ``chunks`` spells out a few at a time."""
+
+    begin: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+    width: int
+
+    @staticmethod
+    def of(at: list[np.ndarray], value: list[np.ndarray], width: int) -> Rows:
+        begin = np.cumsum([0, *map(len, at)])
+        return Rows(begin, np.concatenate([np.zeros(0, dtype=np.int32), *at]), np.concatenate([np.zeros(0, dtype=np.float32), *value]), width)
+
+    @staticmethod
+    def dense(x: np.ndarray) -> Rows:
+        full = [np.flatnonzero(r).astype(np.int32) for r in x]
+        return Rows.of(full, [r[f].astype(np.float32) for r, f in zip(x, full, strict=True)], x.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def take(self, rows: np.ndarray) -> Rows:
+        parts = [slice(int(self.begin[k]), int(self.begin[k + 1])) for k in rows]
+        return Rows.of([self.at[p] for p in parts], [self.value[p] for p in parts], self.width)
+
+    def chunks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First row, last row (excluded) and their features; the array is used again for the next ones."""
+        room = np.zeros((min(AT_ONCE, len(self)), self.width), dtype=np.float32)
+        for i in range(0, len(self), AT_ONCE):
+            j = min(i + AT_ONCE, len(self))
+            part = slice(int(self.begin[i]), int(self.begin[j]))
+            places = np.repeat(np.arange(j - i) * self.width, np.diff(self.begin[i : j + 1])) + self.at[part]
+            room.reshape(-1)[places] = self.value[part]
+            yield i, j, room[: j - i]
+            room.reshape(-1)[places] = 0
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self), *w.shape[1:]), dtype=np.float32)
+        for i, j, x in self.chunks():
+            out[i:j] = x @ w
+        return out
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, featurize: Featurizer, per_class: int) -> tuple[list, Rows]:
     """Labels and features of at most ``per_class`` documents of each label, ``MOST_ROWS`` of all, in order of doc_id.
 
     ``labels`` has doc_id and the label; a doc_id with several labels teaches nothing.  The
@@ -94,14 +139,13 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, featurize: Featurize
             give_back()
 
     # documents that repeat a doc_id count once, by the least of their features
-    found = rows.mapInArrow(run, "doc_id long, label string, at binary, x binary").groupBy("doc_id", "label").agg(F.min(F.struct("at", "x")).alias("f")).select("doc_id", "label", "f.*").collect()
-    found = sorted((r.doc_id, r.label, r.at, r.x) for r in found)
-    width = featurize([b""]).shape[1]
-    out = np.zeros((len(found), width), dtype=np.float32)
-    names = [f[1] for f in found]
-    for k in reversed(range(len(out))):  # what is copied is freed
-        _, _, at, x = found.pop()
-        out[k, np.frombuffer(at, dtype=np.int32)] = np.frombuffer(x, dtype=np.float32)
+    found = rows.mapInArrow(run, "doc_id long, label string, at binary, x binary").groupBy("doc_id", "label").agg(F.min(F.struct("at", "x")).alias("f")).select("doc_id", "label", "f.*").toArrow()
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable").tolist()
+    names = [found.column("label")[k].as_py() for k in order]
+    cells = lambda name, kind: [np.frombuffer(found.column(name)[k].as_buffer(), dtype=kind) for k in order]
+    out = Rows.of(cells("at", np.int32), cells("x", np.float32), featurize([b""]).shape[1])
+    del found
+    give_back()
     return names, out
 
 
@@ -109,7 +153,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: Rows, y: np.ndarray, decay: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of one logistic regression for each column of ``y`` (0/1), by accelerated descent.
 
     Classes of a column weigh the same together, whatever their number of rows.
@@ -117,12 +161,17 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 200) ->
     y = y.astype(np.float32).reshape(len(x), -1)
     ones = np.maximum(1, y.sum(axis=0))
     weight = np.where(y > 0, 0.5 / ones, 0.5 / np.maximum(1, len(y) - y.sum(axis=0))).astype(np.float32)
-    w, b = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
+    w, b = np.zeros((x.width, y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
     ahead_w, ahead_b = w, b
-    rate = np.float32(4.0 / (1.0 + float(np.einsum("ij,ij->i", x, x).max(initial=0))) / (1 + 4 * decay))
+    longest = max((float(np.einsum("ij,ij->i", part, part).max(initial=0)) for _, _, part in x.chunks()), default=0.0)
+    rate = np.float32(4.0 / (1.0 + longest) / (1 + 4 * decay))
     for k in range(steps):
-        slope = (sigmoid(x @ ahead_w + ahead_b) - y) * weight
-        new_w, new_b = ahead_w - rate * (x.T @ slope + decay * ahead_w), ahead_b - rate * slope.sum(axis=0)
+        slope_w, slope_b = decay * ahead_w, np.zeros_like(b)
+        for i, j, part in x.chunks():
+            slope = (sigmoid(part @ ahead_w + ahead_b) - y[i:j]) * weight[i:j]
+            slope_w += part.T @ slope
+            slope_b += slope.sum(axis=0)
+        new_w, new_b = ahead_w - rate * slope_w, ahead_b - rate * slope_b
         pull = np.float32(k / (k + 3))
         ahead_w, ahead_b = new_w + pull * (new_w - w), new_b + pull * (new_b - b)
         w, b = new_w.astype(np.float32), new_b.astype(np.float32)

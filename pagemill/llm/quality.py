@@ -66,9 +66,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     held = rank % 4 == 3
     if not held.any() or len({*y[held].tolist()}) < 2:
         held = np.zeros(len(y), dtype=bool)
-    w, b = logit.fit(x[~held], y[~held])
+    w, b = logit.fit(x.take(np.flatnonzero(~held)), y[~held])
     check = held if held.any() else ~held
-    slope, offset = logit.calibration(x[check] @ w[:, 0] + b[0], y[check])
+    slope, offset = logit.calibration(x.dot(w[:, 0])[check] + b[0], y[check])
     return Model(w[:, 0], float(b[0]), slope, offset + float(np.log(sizes[1] / sizes[0])))
 
 

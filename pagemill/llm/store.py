@@ -64,8 +64,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles no plan holds any more: only then their files go."""
+    """Let the driver notice which shuffles no plan holds any more: only then their files go; its Python returns what it has freed."""
     gc.collect()
+    give_back()
     spark._jvm.System.gc()
 
 

@@ -149,7 +149,7 @@ def entries(odds: dict[str, float], limit: int = LEXICON) -> dict[str, float]:
 def scaled(lexicon: Lexicon, x: np.ndarray, y: np.ndarray) -> Lexicon:
     """The lexicon with the logistic scale of its features that fits the labels."""
     spread = np.maximum(x.std(axis=0), 1e-6)
-    w, b = logit.fit((x / spread).astype(np.float32), y, decay=1e-3, steps=400)
+    w, b = logit.fit(logit.Rows.dense(x / spread), y, decay=1e-3, steps=400)
     margin = x @ (w[:, 0] / spread) + b[0]
     slope, offset = logit.calibration(margin, y)
     return Lexicon(lexicon.entries, lexicon.exceptions, (*(float(v) for v in w[:, 0] / spread * slope), float(b[0] * slope + offset)))
