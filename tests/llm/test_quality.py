@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from pagemill.llm import quality
+import numpy as np
+
+from pagemill.llm import logit, quality
 
 
 def brute(text):
@@ -80,3 +82,16 @@ def test_rows_in_any_order_and_labels_that_differ(spark):
     got = sorted(map(key, quality.rules(table(rows[::-1], 5), both).collect()))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert max(abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)) < 0.02  # prior counts all labels
+
+
+def test_rows_without_zeros_equal_dense_ones():
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 40)) * (rng.random((300, 40)) < 0.2)).astype(np.float32)
+    x[[0, 127, 128, 299]] = 0
+    rows, w = logit.Rows.dense(x), rng.random((40, 3)).astype(np.float32)
+    assert np.array_equal(np.concatenate([part.copy() for _, _, part in rows.chunks()]), x)
+    assert np.allclose(rows.dot(w), x @ w, atol=1e-5)
+    some = np.array([299, 3, 128, 7])
+    assert np.array_equal(next(rows.take(some).chunks())[2], x[some])
+    none = logit.Rows.dense(np.zeros((0, 40)))
+    assert len(none) == 0 and not list(none.chunks()) and none.dot(w).shape == (0, 3)
