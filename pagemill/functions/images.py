@@ -21,8 +21,12 @@ def rendered(points: Column, dpi: Column | float) -> Column:
 
 
 def ceiling(a: Column, places: int) -> Column:
-    """a plus half a unit, rounded half to even."""
-    return F.bround(a + 0.5 * 10.0**-places, places)
+    """a plus half a unit, rounded half to even after scaling by a power of ten, as NumPy and DuckDB do.
+
+    ``bround`` rounds the shortest decimal form instead: of 3.3499999999999996 it makes 3.3, not 3.4.
+    """
+    unit = F.lit(10.0**places)
+    return F.rint((a + 0.5 * 10.0**-places) * unit) / unit
 
 
 def reduced_dpi(dpi: Column, pixels: Column, limit: Column) -> Column:

@@ -23,6 +23,13 @@ def value(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+@pytest.mark.parametrize("pixels", [3300, 7100, 1600, 3900, 14_800, 1000, 1250, 999_999])
+def test_ceiling_is_that_of_numpy(spark, pixels):
+    factor = np.round(pixels / 1000 + 0.05, 1)
+    assert value(spark, I.ceiling(F.lit(float(pixels)) / 1000, 1)) == factor
+    assert value(spark, I.reduced_dpi(F.lit(300), F.lit(float(pixels)), F.lit(1000))) == 300 // factor
+
+
 @pytest.mark.parametrize("spec, want", [("1", [0]), ("3", [2]), ("1,2,3", [0, 1, 2]), ("1-5", [0, 1, 2, 3, 4]), ("1-5,8,10", [0, 1, 2, 3, 4, 7, 9]), ("1-1", [0]), ("2,2,2", [1]), ("10,1,5", [0, 4, 9]), (" 1 , 3 ", [0, 2]), ("", [])])
 def test_page_selection(spark, spec, want):
     assert value(spark, D.selected_pages(F.lit(spec))) == want
