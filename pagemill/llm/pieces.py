@@ -255,9 +255,17 @@ class Vocabulary:
         total = sum(s[1] for s in solved)
         out = []
         for loss, changes in self._changes(units, solved, n):
-            out.append((unpacked(b"".join(changes.get(i, s[0]) for i, s in enumerate(solved))), total - loss))
+            out.append((unpacked(self._changed(solved, changes)), total - loss))
         return out
 
+    @staticmethod
+    def _changed(solved: list[tuple], changes: dict[int, bytes]) -> bytes:
+        """Ids of the segmentation with these units changed."""
+        ids = list(map(_IDS, solved))
+        for i, other in changes.items():
+            ids[i] = other
+        return b"".join(ids)
+
     def nbest_scores(self, units: list[str], solved: list[tuple], n: int) -> list[float]:
         total = sum(map(_SCORE, solved))
         return [total - loss for loss, _ in self._changes(units, solved, n)]
@@ -293,6 +301,12 @@ class Vocabulary:
         return b"".join(map(self.decoded.__getitem__, ids))[1:] if ids else b""
 
 
+def _id_lists(ids: list[bytes]) -> pa.ListArray:
+    """One list of ids for each packed one."""
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+
+
 def encode(docs: DataFrame, model_path: str, n: int = 3, segmentations: bool = False) -> DataFrame:
     """Per row: doc_id, n_pieces, score, nbest_scores (n at most), ids of the best, round_trip.
 
@@ -307,7 +321,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 3, segmentations: bool = F
         v = vocabulary.value
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                ids, sizes, scores, nbest, same, ways = [], [0], [], [], [], []
+                ids, sizes, scores, nbest, same, ways = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     units = v.units(text or "")
                     solved = v.solve_all(units)
@@ -315,14 +329,16 @@ def encode(docs: DataFrame, model_path: str, n: int = 3, segmentations: bool = F
                     ids.append(own)
                     sizes.append(len(own) // 4)
                     scores.append(float(sum(map(_SCORE, solved))))
-                    nbest.append(v.nbest_scores(units, solved, n))
-                    same.append(v.decode(unpacked(own)) == (text or "").encode())
                     if segmentations:
-                        ways.append([i for i, _ in v.nbest(text or "", n)])
-                offsets = pa.array(np.cumsum(sizes), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
-                cols = [part.column(0), pa.array(sizes[1:], pa.int64()), pa.array(scores), pa.array(nbest, pa.list_(pa.float64())), lists, pa.array(same)]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array(ways, pa.list_(pa.list_(pa.int32())))] if segmentations else []), names=[c.split()[0] for c in schema.split(", ")])
+                        found = v._changes(units, solved, n)
+                        nbest.append([scores[-1] - loss for loss, _ in found])
+                        ways.append([v._changed(solved, changes) if changes else own for _, changes in found])
+                    else:
+                        nbest.append(v.nbest_scores(units, solved, n))
+                    same.append(v.decode(unpacked(own)) == (text or "").encode())
+                lists = _id_lists(ids)
+                cols = [part.column(0), pa.array(sizes, pa.int64()), pa.array(scores), pa.array(nbest, pa.list_(pa.float64())), lists, pa.array(same)]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.ListArray.from_arrays(np.cumsum([0, *map(len, ways)]).astype(np.int32), _id_lists([i for w in ways for i in w]))] if segmentations else []), names=[c.split()[0] for c in schema.split(", ")])
             give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

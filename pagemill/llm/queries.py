@@ -16,7 +16,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(load(spark, sf_dir, "documents"), PIECE_MODEL, n=3)
+    return pieces.encode(load(spark, sf_dir, "documents"), PIECE_MODEL, n=3, segmentations=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

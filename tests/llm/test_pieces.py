@@ -68,3 +68,17 @@ def test_round_trip_through_spark(spark):
     assert sorted(map(str, (r[:6] for r in every))) == sorted(map(str, (tuple(r) for r in rows)))
     for r in every:
         assert len(r.nbest_ids) == len(r.nbest_scores) == len({tuple(x) for x in r.nbest_ids}) and r.nbest_ids[0] == r.ids
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
+def test_the_query_gives_the_nbest_segmentations(spark, tmp_path):
+    from pagemill.llm.queries import QUERIES
+
+    texts = ["Hello  wörld\n a\tb", "", None, "The cat sat.\nOn it"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    v = pieces.Vocabulary.load(MODEL)
+    rows = QUERIES["op1_sentencepiece"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert [(i, s) for i, s in zip(r.nbest_ids, r.nbest_scores, strict=True)] == v.nbest(texts[r.doc_id] or "", 3)
+        assert r.nbest_ids[0] == r.ids and all(v.decode(i) == (texts[r.doc_id] or "").encode() for i in r.nbest_ids)
