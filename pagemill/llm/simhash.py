@@ -128,6 +128,8 @@ HUBS, CROWD = 16, 64
 SKETCH = 1024
 #: A pair is left out by its sample if that is so far under the limit, eight standard deviations; else the whole sets decide.
 MARGIN = 0.1
+#: A bit set has so many bits, of the shingles of a text up to ``SPARSE`` times that; of longer texts, of a fourth, a sixteenth ... of them.
+BITS, SPARSE = 512, 4
 #: Text bytes of one bucket of described documents, and the most buckets that Spark takes.
 BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
 
@@ -169,61 +171,106 @@ def _prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return grams[: int(len(grams) * (1 - similarity) + 1e-6) + 1]
 
 
+def _bit_set(grams: np.ndarray) -> tuple[int, np.ndarray]:
+    """Level and bits of a set of hashes: at level k one in 4**k of them counts; a bit says whether an odd number of these falls on it.
+
+    Two sets differ in at least as many members as their bits differ, so unlike sets show without a look at their members.
+    """
+    level = 0
+    while len(grams) > BITS * SPARSE**level:
+        level += 1
+    at = grams if not level else grams[(grams >> np.uint64(20)) & np.uint64(SPARSE**level - 1) == 0]
+    odd = np.bincount((at & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return level, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _described(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, same, size, keys, grams, more): a hash of the words, the number of shingles, the prefix, the least of the set of shingle hashes and the rest."""
+    """(doc_id, same, fp, size, level, bits, keys, grams, more): a hash of the words, the SimHash, the number of shingles, a bit set, the prefix, the least of the set of shingle hashes and the rest."""
+    schema = "doc_id long, same binary, fp long, size int, level int, bits array<long>, keys array<long>, grams binary, more binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = encoded(b.column(1), lower=True)
             for i, j in W.chunks(texts, 1 << 20):
                 words = W.scan(texts[i:j])
-                runs, same, size, keys, sets, more = words.grams(shingle), [], [], [], [], []
+                runs, same, fps, size, levels, bits, keys, sets, more = words.grams(shingle), [], [], [], [], [], [], [], []
                 for d in range(j - i):
                     same.append(xxhash.xxh3_128_digest(words.hash[int(words.first[d]) : int(words.first[d + 1])].tobytes()))
                     grams = _runs(words, d, runs, shingle)
+                    fps.append(majority(grams))
                     size.append(len(grams))
+                    level, odd = _bit_set(grams)
+                    levels.append(level)
+                    bits.append(odd)
                     keys.append(_prefix(grams, common, similarity).view(np.int64))
                     found = np.unique((grams >> np.uint64(32)).astype(np.uint32))
                     sets.append(found[:SKETCH].tobytes())
                     more.append(found[SKETCH:].tobytes())
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array(sets, pa.binary()), pa.array(more, pa.binary())], names=["doc_id", "same", "size", "keys", "grams", "more"])
+                lists = [pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * (BITS // 64), np.concatenate(bits)), pa.ListArray.from_arrays(ends, np.concatenate(keys))]
+                fp = np.array(fps, dtype=np.uint64).view(np.int64)
+                cols = [b.column(0).slice(i, j - i), pa.array(same, pa.binary()), pa.array(fp), pa.array(size, pa.int32()), pa.array(levels, pa.int32()), *lists, pa.array(sets, pa.binary()), pa.array(more, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
             give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, same binary, size int, keys array<long>, grams binary, more binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, schema)
 
 
 def _alike(similarity: float, one: str, two: str) -> Column:
     """Whether sets of these sizes can be as similar, if the shingle at these places is the first that they share."""
     need = (F.col(f"{one}size") + F.col(f"{two}size")) * (similarity / (1 + similarity)) - 1e-6
-    return (F.col(f"{one}pos") <= F.col(f"{one}size") - need) & (F.col(f"{two}pos") <= F.col(f"{two}size") - need)
-
-
-def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of ``shared`` in files that still hold several groups, with label, the file's largest group (big) and its size (n)."""
+    fits = (F.col(f"{one}pos") <= F.col(f"{one}size") - need) & (F.col(f"{two}pos") <= F.col(f"{two}size") - need)
+    # of bits that stand for all shingles no more can differ than shingles may; of those for a part so many that chance has no more, eight standard deviations
+    level, differ = F.col(f"{one}level"), F.lit(0)
+    for i in range(BITS // 64):
+        differ = differ + F.bit_count(F.col(f"{one}bits")[i].bitwiseXOR(F.col(f"{two}bits")[i]))
+    may = (F.col(f"{one}size") + F.col(f"{two}size")) * ((1 - similarity) / (1 + similarity)) / F.pow(F.lit(float(SPARSE)), level)
+    return fits & ((level != F.col(f"{two}level")) | (differ <= may + F.when(level > 0, 8 * F.sqrt(may) + 8).otherwise(0) + 1e-6))
+
+
+def _simhash_pairs(own: DataFrame) -> DataFrame:
+    """Pairs of nodes whose fingerprints differ in two bits or fewer; of nodes with one fingerprint each with the least."""
+    least = saved(own.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    equal = own.select("node", "fp").join(least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    end = lambda fp, n: least.select(F.col("fp").alias(fp), F.col("least").alias(n))
+    near = links(least.select("fp")).toDF("fp_u", "fp_v").join(end("fp_u", "a"), "fp_u").join(end("fp_v", "b"), "fp_v")
+    return equal.unionByName(near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
+def _files(own: DataFrame) -> DataFrame:
+    """(key, node, pos, size): the texts filed under each shingle; shingles with the same texts are one file, where each text's first place counts."""
+    rows = own.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    whose = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    files = rows.groupBy("key").agg(F.count("*").alias("n"), *whose).where("n > 1").select("key", F.xxhash64("n", "x1", "x2").alias("file"))
+    return rows.join(files, "key").groupBy(F.col("file").alias("key"), "node").agg(F.min("pos").alias("pos"), F.first("size").alias("size"))
+
+
+def _mixed(shared: DataFrame, label: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of ``shared`` in files that still hold several groups, with level and bits, label, the file's largest group (big) and its size (n)."""
     named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     files = groups.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("big"), F.count("*").alias("groups"), F.sum("m").alias("n"))
-    return named.drop("n").join(files.where("groups > 1").drop("groups"), "key")
+    return named.join(files.where("groups > 1").drop("groups"), "key").join(bits, "node")
 
 
 def _with_hubs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs of each text outside its file's largest group (each text where ``big`` is null) with one text of that group, several in a crowd.
+    """Pairs of each text outside its file's largest group with one text of that group, several in a crowd.
 
     Other texts in each turn and in each fourth of the files, so that one odd text parts no group.
     """
     order = F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4))).alias("order")
     seat = F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("node", F.lit(turn), F.lit(5)), F.lit(HUBS))).otherwise(0)
-    hubs = rows.where("label <=> big or big is null").groupBy("key", seat.alias("seat")).agg(F.min(F.struct(order, "node", "pos", "size")).alias("hub"))
-    met = rows.where("label <> big or big is null").join(hubs, "key").where("node <> hub.node").where(_alike(similarity, "", "hub."))
+    hubs = rows.where("label = big").groupBy("key", seat.alias("seat")).agg(F.min(F.struct(order, "node", "pos", "size", "level", "bits")).alias("hub"))
+    met = rows.where("label <> big").join(hubs, "key").where(_alike(similarity, "", "hub."))
     return met.select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v")).distinct()
 
 
 def _across(rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs of texts in one file and different groups; the rows of a file are dealt into parts of about ``PART``."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    one = rows.where("label <> big").select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("pos").alias("a_pos"), F.col("size").alias("a_size"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    two = rows.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"), "big", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    side = lambda n: ["key", F.col("node").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("label", "pos", "size", "level", "bits"))]
+    one = rows.where("label <> big").select(*side("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    two = rows.select(*side("b"), "big", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     met = one.join(two, ["key", "part"]).where("a_label <> b_label and (b_label = big or a > b)").where(_alike(similarity, "a_", "b_"))
     return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
@@ -268,13 +315,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word
     shingles (A-Z lower-cased) is ``similarity`` or more.  Texts with equal words are joined
-    first.  The others are filed under the first of their shingles, a fifth of them, in one order
+    first, then those whose SimHashes of the same shingles share a block and differ in two bits or
+    fewer, verified as all pairs are.  SimHash leaves out pairs near the limit; for an exact answer
+    all texts are filed under the first of their shingles, a fifth of them, in one order
     for all texts, those rare in a sample first: two sets that are as similar always have one in
     common there, at any number of texts and for any kind of edit.  Pairs from a file are verified
     on their whole shingle sets; of texts over ``SKETCH`` shingles, a sample leaves out those that
     are ``MARGIN`` or more under the limit.
-    First each file's texts are compared with one of them, then those outside the file's largest
-    group with one of that group; the last round compares all pairs of a file, whatever its size,
+    Pairs whose bit sets (``_bit_set``) differ too much are passed over.  The texts outside a file's
+    largest group are compared with one of that group, in a few turns; the last round compares all pairs of a file, whatever its size,
     that aren't in one group yet.
 
     Null ids are in no group; rows that share a doc_id are one document.
@@ -286,20 +335,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     with scratch(spark):
         # rows that share a doc_id are one, that of the least of their words' hashes
         rows = _described(docs, shingle, similarity, _common(docs, shingle, count)).repartition(buckets, "doc_id")
-        rows = rows.groupBy("doc_id").agg(F.min(F.struct("same", "size", "keys", "grams", "more")).alias("row")).select("doc_id", "row.*")
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("same", "fp", "size", "level", "bits", "keys", "grams", "more")).alias("row")).select("doc_id", "row.*")
         described = bucketed(rows, "doc_id", buckets, "described")
         forget(spark)
         classes = described.groupBy("same").agg(F.min("doc_id").alias("node"))
         members = saved(described.select("doc_id", "same").join(classes, "same").select("doc_id", "node"), "members")
-        own = described.join(members.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", "keys")
-        files = own.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-        shared = saved(files.join(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "files")
-        forget(spark)
-        none = F.lit(None).cast("long")
-        links = saved(_verified(_with_hubs(shared.withColumns({"label": none, "big": none}), 0, similarity), described, similarity), "links")
+        own = described.join(members.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+        bits = own.select("node", "level", "bits")
+        links = saved(_verified(_simhash_pairs(own), described, similarity), "links")
         label = components(links)
-        for turn in range(1, rounds):
-            rows = _mixed(shared, label)
+        shared = saved(_files(own), "files")
+        forget(spark)
+        for turn in range(rounds):
+            rows = _mixed(shared, label, bits)
             found = _verified(_with_hubs(rows, turn, similarity) if turn < rounds - 1 else _across(rows, similarity), described, similarity)
             links = saved(links.unionByName(found), "links")
             label = components(links)

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pagemill.llm import simhash
 
@@ -98,3 +100,48 @@ def test_extra_columns_nulls_and_no_rows(spark):
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]
     assert {r.component_id for r in got} == {1}
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def described(spark, rows):
+    """Nodes with their rows as the pipeline's stage describes them."""
+    none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return simhash._described(df, 5, 0.8, none).withColumnRenamed("doc_id", "node").cache()
+
+
+def test_the_pipelines_stage_proposes_by_simhash(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9999)}" for _ in range(3000)]
+    other = [f"v{rng.randrange(9999)}" for _ in range(3000)]
+    own = described(spark, [(1, " ".join(base)), (2, " ".join([*base[:-1], "edit"])), (3, " ".join(base).upper()), (4, " ".join(other))])
+    fps = {r.node: r.fp & (2**64 - 1) for r in own.collect()}
+    want = {(v, u) for u, a in fps.items() for v, b in fps.items() if u < v and (a ^ b).bit_count() <= 2}
+    got = {(r.u, r.v) for r in simhash._simhash_pairs(own).collect()}
+    assert got and got <= want and {(3, 1), (2, 1)} <= got and not any(4 in p for p in got)
+
+
+def test_unlike_pairs_of_a_file_are_passed_over(spark):
+    rng = random.Random(6)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(i, " ".join(shared + [f"w{rng.randrange(99999)}" for _ in range(240)])) for i in range(30)]
+    copy = rows[0][1].split()
+    copy[150] = "edit"
+    rows.append((30, " ".join(copy)))
+    own = described(spark, rows)
+    bits = own.select("node", "level", "bits")
+    files = simhash._files(own)
+    members = [tuple(sorted(r.nodes)) for r in files.groupBy("key").agg(F.collect_list("node").alias("nodes")).collect()]
+    assert len(members) == len(set(members)) and all(len(m) == len(set(m)) > 1 for m in members)
+    label = spark.createDataFrame([], "node long, label long")
+    assert {tuple(r) for r in simhash._across(simhash._mixed(files, label, bits), 0.8).collect()} == {(30, 0)}
+
+
+def test_bit_sets_never_part_near_copies():
+    rng = np.random.default_rng(7)
+    for n in (3, 50, 500, 3000, 40_000):
+        for _ in range(40):
+            grams = rng.integers(0, 1 << 64, size=n + n // 9, dtype=np.uint64)
+            one, two = grams[:n], grams[n // 9 :]
+            (k, a), (m, b) = simhash._bit_set(one), simhash._bit_set(two)
+            may = (len(one) + len(two)) / 9 / 4**k
+            assert k == m and sum((int(x) ^ int(y)).bit_count() for x, y in zip(a.view(np.uint64), b.view(np.uint64), strict=True)) <= may + (8 * may**0.5 + 8 if k else 0)
