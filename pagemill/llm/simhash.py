@@ -124,6 +124,8 @@ COMMON = 3
 PART = 256
 #: Files of more texts than ``CROWD`` have so many hubs a turn instead of one; this steers which pairs are compared first only.
 HUBS, CROWD = 16, 64
+#: Files of each text that are marked: a pair with a common mark is compared in that file only, not in all that it shares.
+MARKS = 6
 #: Least shingle hashes of a text that pairs are looked at by first: all of most texts, an even sample of the whole of a longer one.
 SKETCH = 1024
 #: A pair is left out by its sample if that is so far under the limit, eight standard deviations; else the whole sets decide.
@@ -216,16 +218,40 @@ def _described(docs: DataFrame, shingle: int, similarity: float, common: tuple[n
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, schema)
 
 
-def _alike(similarity: float, one: str, two: str) -> Column:
+def _fits(similarity: float, one: str, two: str, *places: Column) -> Column:
     """Whether sets of these sizes can be as similar, if the shingle at these places is the first that they share."""
     need = (F.col(f"{one}size") + F.col(f"{two}size")) * (similarity / (1 + similarity)) - 1e-6
-    fits = (F.col(f"{one}pos") <= F.col(f"{one}size") - need) & (F.col(f"{two}pos") <= F.col(f"{two}size") - need)
+    a, b = places or (F.col(f"{one}pos"), F.col(f"{two}pos"))
+    return (a <= F.col(f"{one}size") - need) & (b <= F.col(f"{two}size") - need)
+
+
+def _alike(similarity: float, one: str, two: str) -> Column:
+    """Whether sets with these sizes, places and bits can be as similar."""
     # of bits that stand for all shingles no more can differ than shingles may; of those for a part so many that chance has no more, eight standard deviations
     level, differ = F.col(f"{one}level"), F.lit(0)
     for i in range(BITS // 64):
         differ = differ + F.bit_count(F.col(f"{one}bits")[i].bitwiseXOR(F.col(f"{two}bits")[i]))
     may = (F.col(f"{one}size") + F.col(f"{two}size")) * ((1 - similarity) / (1 + similarity)) / F.pow(F.lit(float(SPARSE)), level)
-    return fits & ((level != F.col(f"{two}level")) | (differ <= may + F.when(level > 0, 8 * F.sqrt(may) + 8).otherwise(0) + 1e-6))
+    return _fits(similarity, one, two) & ((level != F.col(f"{two}level")) | (differ <= may + F.when(level > 0, 8 * F.sqrt(may) + 8).otherwise(0) + 1e-6))
+
+
+def _mark(k: int) -> Column:
+    return F.xxhash64("key", F.lit(k))
+
+
+def _marks(shared: DataFrame) -> DataFrame:
+    """(node, marks): the least of each text's files in several orders, with the text's place in it; early places first, where more pairs fit."""
+    late = (F.col("pos") * 9 > F.col("size")).alias("late")
+    return shared.groupBy("node").agg(F.array(*(F.min(F.struct(late, _mark(k).alias("file"), "pos")) for k in range(MARKS))).alias("marks"))
+
+
+def _here(similarity: float, one: str, two: str) -> Column:
+    """Whether the texts are compared in this file: their places fit, and also in the file of the first common mark that fits, if there is one, and that is this."""
+    out = _fits(similarity, one, two)
+    for k in reversed(range(MARKS)):
+        a, b = F.col(f"{one}marks")[k], F.col(f"{two}marks")[k]
+        out = F.when((a["file"] == b["file"]) & _fits(similarity, one, two, a["pos"], b["pos"]), a["file"] == _mark(k)).otherwise(out)
+    return out
 
 
 def _simhash_pairs(own: DataFrame) -> DataFrame:
@@ -265,14 +291,19 @@ def _with_hubs(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
     return met.select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v")).distinct()
 
 
-def _across(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of texts in one file and different groups; the rows of a file are dealt into parts of about ``PART``."""
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of texts in one file and different groups, each from one of the files that it shares; the rows of a file are dealt into parts of about ``PART``."""
+    rows = rows if "marks" in rows.columns else rows.join(_marks(rows), "node")
     parts = F.ceil(F.col("n") / PART).cast("int")
-    side = lambda n: ["key", F.col("node").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("label", "pos", "size", "level", "bits"))]
+    side = lambda n: ["key", F.col("node").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("label", "pos", "size", "level", "bits", "marks"))]
     one = rows.where("label <> big").select(*side("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     two = rows.select(*side("b"), "big", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    met = one.join(two, ["key", "part"]).where("a_label <> b_label and (b_label = big or a > b)").where(_alike(similarity, "a_", "b_"))
-    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return one.join(two, ["key", "part"]).where("a_label <> b_label and (b_label = big or a > b)").where(_alike(similarity, "a_", "b_") & _here(similarity, "a_", "b_"))
+
+
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that ``_compared`` leaves, each once: the larger node and the smaller."""
+    return _compared(rows, similarity).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
 def _jaccard(one: np.ndarray, two: np.ndarray) -> float:
@@ -324,7 +355,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     are ``MARGIN`` or more under the limit.
     Pairs whose bit sets (``_bit_set``) differ too much are passed over.  The texts outside a file's
     largest group are compared with one of that group, in a few turns; the last round compares all pairs of a file, whatever its size,
-    that aren't in one group yet.
+    that aren't in one group yet, each in one of the files that it shares (``_marks``).
 
     Null ids are in no group; rows that share a doc_id are one document.
     """
@@ -347,8 +378,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         shared = saved(_files(own), "files")
         forget(spark)
         for turn in range(rounds):
-            rows = _mixed(shared, label, bits)
-            found = _verified(_with_hubs(rows, turn, similarity) if turn < rounds - 1 else _across(rows, similarity), described, similarity)
+            last = turn == rounds - 1
+            rows = _mixed(shared, label, bits.join(_marks(shared), "node") if last else bits)
+            found = _verified(_across(rows, similarity) if last else _with_hubs(rows, turn, similarity), described, similarity)
             links = saved(links.unionByName(found), "links")
             label = components(links)
         return saved(members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group_id")), "groups", keep=True)

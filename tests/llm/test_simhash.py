@@ -145,3 +145,32 @@ def test_bit_sets_never_part_near_copies():
             (k, a), (m, b) = simhash._bit_set(one), simhash._bit_set(two)
             may = (len(one) + len(two)) / 9 / 4**k
             assert k == m and sum((int(x) ^ int(y)).bit_count() for x, y in zip(a.view(np.uint64), b.view(np.uint64), strict=True)) <= may + (8 * may**0.5 + 8 if k else 0)
+
+
+def test_a_pair_is_compared_in_one_of_its_files(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(99999)}" for _ in range(400)]
+    rows = [(i, " ".join(f"e{i}" if k in (200, 201 + i) else w for k, w in enumerate(base))) for i in range(3)]
+    # runs of shingles that other texts have too are files of their own, so each pair shares many
+    rows += [(3 + k, " ".join(base[30 * k : 30 * k + 30] + [f"x{k}y{j}" for j in range(300)])) for k in range(12)]
+    own = described(spark, rows)
+    files = simhash._files(own)
+    crowd = simhash._mixed(files, spark.createDataFrame([], "node long, label long"), own.select("node", "level", "bits"))
+    met = simhash._compared(crowd.join(simhash._marks(files), "node"), 0.8)
+    pairs = [(max(r.a, r.b), min(r.a, r.b)) for r in met.collect()]
+    places = files.join(files.select("key", F.col("node").alias("other")), "key").where("node = 1 and other = 0").count()
+    assert places > 3 and {(1, 0), (2, 0), (2, 1)} <= set(pairs) and len(pairs) == len(set(pairs))
+
+
+def test_few_edges_are_solved_without_rounds(spark, monkeypatch):
+    from pagemill.llm import graph
+
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(450)] + [(k, k + 1) for k in range(2000, 2040)], "u long, v long").cache()
+    tables = []
+    monkeypatch.setattr(graph, "saved", lambda df, name="table", keep=False, to=graph.saved: tables.append(name) or to(df, name, keep))
+    few = {tuple(r) for r in graph.components(edges).collect()}
+    assert tables == ["edges", "components"]
+    monkeypatch.setattr(graph, "ALONE", 0)
+    assert few == {tuple(r) for r in graph.components(edges).collect()} and len(tables) > 4
+    assert graph.components(edges.where("false")).count() == 0
