@@ -33,7 +33,10 @@ def _longest_first(text: Column, uri: Column, pos: Column) -> Column:
 def _splice(threshold: float, escape: bool):
     @F.pandas_udf("string")
     def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = [t if t is None or p is None or not len(p) else linked(t, [(x["phrase"], x["uri"]) for x in p], threshold, escape) for t, p in zip(texts, lists, strict=True)]
+        asked = [k for k, (t, p) in enumerate(zip(texts, lists, strict=True)) if t is not None and p is not None and len(p)]
+        out = texts.tolist()
+        for k, text in zip(asked, linked([out[k] for k in asked], [[(x["phrase"], x["uri"]) for x in lists[k]] for k in asked], threshold, escape), strict=True):
+            out[k] = text
         return pd.Series(out, dtype=object)
 
     return run
