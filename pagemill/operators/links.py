@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
 from pagemill.functions.text import in_order, stripped
-from pagemill.functions.uris import linked
+from pagemill.functions.uris import TOGETHER, linked
+
+#: Characters that ``stripped`` takes away; rows and bytes of an Arrow batch of pages with their cells, at most.
+BLANK, BATCH_ROWS, BATCH_BYTES = " \t\n\x0b\f\r", 1024, 8 << 20
 
 
 def candidates(items: DataFrame, cells: DataFrame, share: float = 0.3) -> DataFrame:
@@ -21,8 +29,14 @@ def candidates(items: DataFrame, cells: DataFrame, share: float = 0.3) -> DataFr
 
 def phrases(cells: DataFrame) -> DataFrame:
     """page_id, uri, phrase: the texts of all cells with one uri, in reading order."""
-    named = cells.where("uri is not null and uri <> ''").withColumn("_text", stripped(F.col("text"))).where("_text <> ''")
-    return named.groupBy("page_id", "uri").agg(in_order(F.col("_text"), F.col("t"), F.col("l"), F.col("cell_pos"), separator=" ").alias("phrase"))
+    return _phrases(cells).drop("first")
+
+
+def _phrases(cells: DataFrame) -> DataFrame:
+    """With the first place that a cell of the uri has, blank ones included."""
+    named = cells.where("uri is not null and uri <> ''").withColumn("_text", stripped(F.col("text")))
+    text = in_order(F.when(F.col("_text") != "", F.col("_text")), F.col("t"), F.col("l"), F.col("cell_pos"), separator=" ")
+    return named.groupBy("page_id", "uri").agg(text.alias("phrase"), F.min("cell_pos").alias("first")).where("phrase <> ''")
 
 
 def _longest_first(text: Column, uri: Column, pos: Column) -> Column:
@@ -55,6 +69,91 @@ def annotated_pages(pages: DataFrame, cells: DataFrame, threshold: float = 0.7)
 
     Of phrases with equal length the one whose uri the cells have first goes first.
     """
-    first = cells.where("uri is not null and uri <> ''").groupBy("page_id", "uri").agg(F.min("cell_pos").alias("_first"))
-    found = phrases(cells).join(first, ["page_id", "uri"]).groupBy("page_id").agg(_longest_first(F.col("phrase"), F.col("uri"), F.col("_first")).alias("_phrases"))
+    found = _phrases(cells).groupBy("page_id").agg(_longest_first(F.col("phrase"), F.col("uri"), F.col("first")).alias("_phrases"))
     return pages.join(found, "page_id", "left").withColumn("text", _splice(threshold, False)("text", "_phrases")).drop("_phrases")
+
+
+def _page_texts(lists: pa.ListArray) -> tuple[list[str], list[list[tuple[str, str]]]]:
+    """For the cells of each page the text in lines, as ``layout.lines`` has it, and the phrases, longest first."""
+    pages, cells = len(lists), lists.flatten()
+    page = np.repeat(np.arange(pages), lists.value_lengths().to_numpy())
+    t, l, b, pos = (cells.field(n).to_numpy(zero_copy_only=False) for n in ("t", "l", "b", "cell_pos"))
+    order = np.lexsort((pos, l, t, page))
+    page, t, l, b, pos = (x[order] for x in (page, t, l, b, pos))
+    text, uri = cells.field("text").take(pa.array(order)), cells.field("uri").take(pa.array(order))
+    starts = np.concatenate([[True], page[1:] != page[:-1]])
+    middle = (t.astype(np.float64) + b) / 2
+    new = starts.copy()
+    new[1:] |= np.abs(middle[1:] - middle[:-1]) >= 0.6 * np.maximum(b - t, 1)[1:]
+    line = np.cumsum(new)
+    begin, last = line[starts], line[np.concatenate([starts[1:], [True]])]
+
+    named: list[dict[str, list]] = [{} for _ in range(pages)]
+    linked_cells = np.flatnonzero(pc.fill_null(pc.not_equal(uri, ""), False).to_numpy(zero_copy_only=False))
+    some = pa.array(linked_cells)
+    for k, u, x, at in zip(page[linked_cells].tolist(), uri.take(some).to_pylist(), text.take(some).to_pylist(), pos[linked_cells].tolist(), strict=True):
+        first = named[k].setdefault(u, [at])
+        first[0] = min(first[0], at)
+        if x is not None and (x := x.strip(BLANK)):
+            first.append(x)
+    phrases = []
+    for uris in named:
+        own = [(" ".join(words), at, u) for u, (at, *words) in uris.items() if words]
+        phrases.append([(x, u) for x, _, u in sorted(own, key=lambda p: (-len(p[0]), p[1], p[0], p[2]))])
+
+    within = np.lexsort((pos, t, l, line))
+    within = within[text.is_valid().to_numpy(zero_copy_only=False)[within]]
+    page, line = page[within], line[within]
+    shown = pc.replace_substring(text.take(pa.array(within)), "\n", " ")
+    counts = np.bincount(page, minlength=pages)
+    ends = np.cumsum(counts)
+    first = np.zeros(len(page), bool)
+    first[(ends - counts)[counts > 0]] = True
+    feeds = line - np.where(first, begin[page], np.concatenate([[0], line[:-1]]))
+    before = pa.array(["", " ", *("\n" * k for k in range(1, int(feeds.max(initial=0)) + 1))])
+    pieces = pc.binary_join_element_wise(before.take(pa.array(np.where(first & (feeds == 0), 0, feeds + 1))), shown, "")
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pieces), "").to_pylist()
+    left = last - begin
+    left[counts > 0] = last[counts > 0] - line[ends[counts > 0] - 1]
+    return [x + "\n" * k for x, k in zip(texts, left.tolist(), strict=True)], phrases
+
+
+def annotated_cells(cells: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``annotated_pages`` of the pages that ``layout.lines`` makes of the same cells; every cell has a place.
+
+    The cells are dealt out once, one row a page.
+    """
+    spark = cells.sparkSession
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    grouped = cells.groupBy("page_id").agg(F.collect_list(F.struct("t", "l", "b", "cell_pos", "text", "uri")).alias("_cells"))
+    kind = cells.schema["page_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        texts: list[str] = []
+        phrases: list[list[tuple[str, str]]] = []
+
+        def ready() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(linked(texts, phrases, threshold, False), pa.string())], ["page_id", "text"])
+            for x in (ids, texts, phrases):
+                x.clear()
+            return out
+
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, found = _page_texts(batch.column("_cells"))
+            ids.append(batch.column("page_id"))
+            texts += own
+            phrases += found
+            held += sum(map(len, own))
+            if held >= TOGETHER:
+                yield ready()
+                held = 0
+        if ids:
+            yield ready()
+
+    return grouped.mapInArrow(run, f"page_id {kind.simpleString()}, text string")

@@ -55,3 +55,23 @@ def test_merged_links_deal_the_cells_out_once(spark):
     assert rows == [(1, 1, "c1", "early"), (1, 2, "c0 c2", "late"), (1, 3, "c3 twin", "end")] + [(2, n + 1, f"c{n}", None) for n in range(4)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert sum(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines()) == 2  # one in each part of the union: cells aren't joined with themselves
+
+
+def test_annotated_cells_are_the_annotated_lines_of_the_same_cells(spark):
+    from pagemill.operators.layout import lines
+    from pagemill.operators.links import annotated_cells, annotated_pages
+
+    words = ["plain", "two words", " padded\t", "a\nb", "", " ", None, "größe", "\U0001f600", "x"]
+    rows = []
+    for page in range(12):
+        for n in range(page * 4):
+            k = n * 7 + page
+            uri = [None, "", f"u{k % 5}", f"v{k % 3}"][k % 4] if page % 5 else f"w{n}"
+            t = (n // 5) * 20 + k % 13 - 6 * (k % 11 == 0)
+            rows.append((page, n, (k * 37) % 90, t, t + 5 + k % 9, words[k % len(words)] if page != 3 else None, uri))
+    rows.append((50, 0, 0, 0, 9, None, None))
+    cells = spark.createDataFrame(rows, "page_id long, cell_pos int, l int, t int, b int, text string, uri string").repartition(3)
+    out = annotated_cells(cells)
+    assert {r.page_id: r.text for r in out.collect()} == {r.page_id: r.text for r in annotated_pages(lines(cells.drop("uri")), cells).collect()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Join" not in plan  # the cells are dealt out once
