@@ -10,13 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pagemill.functions import geometry as G
 from pagemill.functions.text import in_order, stripped
 from pagemill.functions.uris import TOGETHER, linked
 
-#: Characters that ``stripped`` takes away; rows and bytes of an Arrow batch of pages with their cells, at most.
-BLANK, BATCH_ROWS, BATCH_BYTES = " \t\n\x0b\f\r", 1024, 8 << 20
+#: Characters that ``stripped`` takes away; rows and bytes of an Arrow batch of cells or pages, at most.
+BLANK, BATCH_ROWS, BATCH_BYTES = " \t\n\x0b\f\r", 1 << 13, 8 << 20
+#: What places a cell.
+PLACE = ("t", "l", "b", "cell_pos")
 
 
 def candidates(items: DataFrame, cells: DataFrame, share: float = 0.3) -> DataFrame:
@@ -73,14 +76,64 @@ def annotated_pages(pages: DataFrame, cells: DataFrame, threshold: float = 0.7)
     return pages.join(found, "page_id", "left").withColumn("text", _splice(threshold, False)("text", "_phrases")).drop("_phrases")
 
 
+def _runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each run of cells of one page: whole numbers as steps from cell to cell, the texts as one with their lengths."""
+    page, text, uri = (batch.column(n) for n in ("page_id", "text", "uri"))
+    starts = np.concatenate([[True], pc.fill_null(pc.not_equal(page[1:], page[:-1]), True).to_numpy(zero_copy_only=False)])
+    begin = np.flatnonzero(starts)
+    offsets = np.append(begin, len(page)).astype(np.int32)
+
+    def steps(x: np.ndarray) -> pa.ListArray:
+        if np.issubdtype(x.dtype, np.integer):
+            x = np.where(starts, x, x - np.concatenate([x[:1], x[:-1]]))
+        return pa.ListArray.from_arrays(offsets, x)
+
+    kept = text.cast(pa.binary())
+    lengths = pc.fill_null(pc.binary_length(kept), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+    named = pc.fill_null(pc.not_equal(uri, ""), False).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(named)])[offsets].astype(np.int32)
+    at = np.flatnonzero(named)
+    within = (at - np.repeat(begin, np.diff(offsets))[at]).astype(np.int32)
+    values = pa.ListArray.from_arrays(offsets, pc.fill_null(kept, b""))
+    columns = {n: steps(batch.column(n).to_numpy(zero_copy_only=False)) for n in PLACE}
+    columns |= {"lengths": pa.ListArray.from_arrays(offsets, lengths), "texts": pc.binary_join(values, b"")}
+    columns |= {"at": pa.ListArray.from_arrays(before, within), "uris": pa.ListArray.from_arrays(before, uri.take(pa.array(at)))}
+    return pa.RecordBatch.from_pydict({"page_id": page.take(pa.array(begin)), **columns})
+
+
+def _cells(lists: pa.ListArray) -> tuple:
+    """The cells in the runs of each page: number of the page, t, l, b, cell_pos, text, uri."""
+    runs = lists.flatten()
+    run = dict(zip((f.name for f in runs.type), runs.flatten(), strict=True))
+    count = run["lengths"].value_lengths().to_numpy()
+    begin = np.cumsum(count) - count
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        if not np.issubdtype(x.dtype, np.integer):
+            return x
+        total = np.cumsum(x)
+        return total - np.repeat((total - x)[np.minimum(begin, len(x) - 1)], count)
+
+    places = [whole(run[n].flatten().to_numpy(zero_copy_only=False)) for n in PLACE]
+    lengths = run["lengths"].flatten().to_numpy()
+    data = b"".join(run["texts"].to_pylist())
+    ends = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))]).astype(np.int32)
+    text = pc.if_else(pa.array(lengths >= 0), pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(data)), None)
+    at = run["at"].flatten().to_numpy() + np.repeat(begin, run["at"].value_lengths().to_numpy())
+    which = np.full(len(lengths), -1)
+    which[at] = np.arange(len(at))
+    uri = run["uris"].flatten().take(pa.array(which, mask=which < 0))
+    page = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), count)
+    return page, *places, text, uri
+
+
 def _page_texts(lists: pa.ListArray) -> tuple[list[str], list[list[tuple[str, str]]]]:
     """For the cells of each page the text in lines, as ``layout.lines`` has it, and the phrases, longest first."""
-    pages, cells = len(lists), lists.flatten()
-    page = np.repeat(np.arange(pages), lists.value_lengths().to_numpy())
-    t, l, b, pos = (cells.field(n).to_numpy(zero_copy_only=False) for n in ("t", "l", "b", "cell_pos"))
+    pages = len(lists)
+    page, t, l, b, pos, text, uri = _cells(lists)
     order = np.lexsort((pos, l, t, page))
     page, t, l, b, pos = (x[order] for x in (page, t, l, b, pos))
-    text, uri = cells.field("text").take(pa.array(order)), cells.field("uri").take(pa.array(order))
+    text, uri = text.take(pa.array(order)), uri.take(pa.array(order))
     starts = np.concatenate([[True], page[1:] != page[:-1]])
     middle = (t.astype(np.float64) + b) / 2
     new = starts.copy()
@@ -121,14 +174,17 @@ def _page_texts(lists: pa.ListArray) -> tuple[list[str], list[list[tuple[str, st
 def annotated_cells(cells: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``annotated_pages`` of the pages that ``layout.lines`` makes of the same cells; every cell has a place.
 
-    The cells are dealt out once, one row a page.
+    The cells are dealt out once, in runs of neighbours, which take little more room than their texts.
     """
     spark = cells.sparkSession
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    grouped = cells.groupBy("page_id").agg(F.collect_list(F.struct("t", "l", "b", "cell_pos", "text", "uri")).alias("_cells"))
     kind = cells.schema["page_id"].dataType
+    numbers = {n: "bigint" if isinstance(cells.schema[n].dataType, IntegralType) else "double" for n in PLACE}
+    plain = cells.select("page_id", *(F.col(n).cast(k).alias(n) for n, k in numbers.items()), "text", "uri")
+    runs = plain.mapInArrow(lambda batches: (_runs(x) for x in batches if x.num_rows), f"page_id {kind.simpleString()}, {', '.join(f'{n} array<{k}>' for n, k in numbers.items())}, lengths array<int>, texts binary, at array<int>, uris array<string>")
+    grouped = runs.groupBy("page_id").agg(F.collect_list(F.struct(*runs.columns[1:])).alias("_cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[pa.Array] = []
