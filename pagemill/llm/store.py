@@ -64,10 +64,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles no plan holds any more: only then their files go; its Python returns what it has freed."""
+    """Let the driver notice which shuffles no plan holds any more: only then their files go; its Python returns what it has freed.
+
+    Executors return what their heaps have grown by and don't use: without a full collection a heap stays as large as it ever was.
+    """
     gc.collect()
     give_back()
     spark._jvm.System.gc()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        slots = spark.sparkContext.defaultParallelism
+        spark.range(0, slots, 1, slots).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def give_back() -> None:
