@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 
@@ -51,6 +52,51 @@ def test_nbest_matches_enumeration():
             assert v.nbest_scores(units, [v.solve(u) for u in units], n) == [s for _, s in got]
 
 
+def every_unit(v, unit):
+    """All segmentations of a unit, best first."""
+    if not unit:
+        return [(0.0, ())]
+    hits = [(v.pieces.get(unit[:k]), k) for k in range(1, len(unit) + 1)]
+    steps = [((hit[0],), hit[1], k) for hit, k in hits if hit] + ([] if hits[0][0] else [(v.ids_of(unit[0]), v.unknown, 1)])
+    return sorted(((s + score, ids + more) for ids, s, k in steps for score, more in every_unit(v, unit[k:])), key=lambda x: -x[0])
+
+
+def looked_up(memory, units):
+    ends, ids, scores, losses = memory.look(units)
+    begins = [0, *ends.tolist()][:-1]
+    return [(ids[a:b].tolist(), s, x) for a, b, s, x in zip(begins, ends.tolist(), scores.tolist(), losses.tolist(), strict=True)]
+
+
+def test_units_solved_together_match_enumeration(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 60)
+    monkeypatch.setattr(pieces, "TOGETHER", 7)
+    monkeypatch.setattr(pieces, "SHORT", 6)
+    v, rng = small(), random.Random(4)
+    assert looked_up(v.memory, []) == []
+    for _ in range(40):
+        units = [u for _ in range(12) for u in v.units("".join(rng.choice("aaabbb  \né") for _ in range(rng.randrange(0, 12))))]
+        for unit, (ids, score, loss) in zip(units, looked_up(v.memory, units), strict=True):
+            want = every_unit(v, unit)
+            assert score == want[0][0] and (score, tuple(ids)) in want
+            assert loss == (want[0][0] - want[1][0] if len(want) > 1 else float("inf"))
+            assert (pieces.packed(ids), score, loss) == v.solve(unit)
+        assert len(v.memory.numbers) <= 60 + len(units)
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
+def test_new_units_cost_less_together_than_one_by_one():
+    v, rng = pieces.Vocabulary.load(MODEL), random.Random(5)
+    units = list({pieces.SPACE + "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(4, 12))) + rng.choice(["", ",", "."]) for _ in range(20000)})
+    looked_up(v.memory, ["warm", "up"]), v.solve("warmup")
+    began = time.thread_time()
+    ends, ids, scores, losses = v.memory.look(units)
+    together = time.thread_time() - began
+    began = time.thread_time()
+    alone = [v.solve(u) for u in units]
+    assert together < 0.7 * (time.thread_time() - began)
+    assert ids.tobytes() == b"".join(a[0] for a in alone) and list(zip(scores, losses, strict=True)) == [a[1:] for a in alone]
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
 def test_round_trip_through_spark(spark):
     texts = ["Hello  wörld\n a\tb", "", None, " x ", "梦 \U0001f600 end", f"a{pieces.SPACE}b", "z" * 3000, "\n\n", "The cat sat.\nOn it"]
